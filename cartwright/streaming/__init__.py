@@ -1,0 +1 @@
+"""No streaming queries: loads replace the table whole and sessions arrive as a column."""
