@@ -104,7 +104,7 @@ def _published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
-def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _published_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published funnel, from its CSV."""
     root = built_root(spark, sf_dir)
     run = store.new_run(f"{root}/marts")
@@ -172,5 +172,5 @@ QUERIES: dict[str, Query] = {
     "quintile_shares_labelled": _on_star(lambda s: shapes.quintile_shares(revenue.quintiles(s))),
     # publishing
     "published_row_counts": _published_rows,
-    "published_funnel": _rebuilt,
+    "published_funnel": _published_funnel,
 }
