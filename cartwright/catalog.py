@@ -24,10 +24,7 @@ _built: dict[tuple, str] = {}
 
 
 def _input_version(spark: SparkSession, sf_dir: str) -> tuple:
-    """Number, size and newest change of the input files, from a listing without content."""
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in INPUT_TABLES])
-    listed = files.agg(F.count("*"), F.sum("length"), F.max("modificationTime").cast("double"))
-    return tuple(listed.first())
+    return tuple(store.content_version(spark, f"{sf_dir}/{t}.parquet") for t in INPUT_TABLES)
 
 
 def built_root(spark: SparkSession, sf_dir: str) -> str:

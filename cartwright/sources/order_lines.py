@@ -14,9 +14,18 @@ INPUT_TABLES = ("lineitem", "orders", "part")
 _SECOND = 1_000_000
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer tasks than that; a large scan is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def events_from_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in INPUT_TABLES)
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    lines = lines.select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus"
+    )
+    joined = _spread(lines).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         parts, F.col("l_partkey") == F.col("p_partkey")
     )
     order, line = F.col("l_orderkey"), F.col("l_linenumber")

@@ -53,3 +53,11 @@ def write_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ())
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table under its declared schema, with no footer reads for inference."""
     return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
+def content_version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Files, bytes and last change of a file or folder, without reading it."""
+    fs, hadoop_path = _filesystem(spark, path)
+    content = fs.getContentSummary(hadoop_path)
+    changed = fs.getFileStatus(hadoop_path).getModificationTime()
+    return content.getFileCount(), content.getLength(), changed
