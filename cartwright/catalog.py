@@ -5,6 +5,7 @@ stored tables, as they would in production.
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,26 +21,37 @@ from cartwright.sources.order_lines import INPUT_TABLES, events_from_order_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_built: dict[tuple, str] = {}
+
+@dataclass(frozen=True)
+class Built:
+    """Stored raw events and star of one input version."""
+
+    root: str
+    raw: DataFrame
+    star: Star
+
+
+_built: dict[tuple, Built] = {}
 
 
 def _input_version(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(store.content_version(spark, f"{sf_dir}/{t}.parquet") for t in INPUT_TABLES)
 
 
-def built_root(spark: SparkSession, sf_dir: str) -> str:
-    """The folder holding raw events and star of these inputs, built on first use."""
+def built(spark: SparkSession, sf_dir: str) -> Built:
+    """The tables of these inputs, built on first use and after every change of the inputs."""
     prepare(spark)
     base = work_dir(spark)
     key = (base, sf_dir, _input_version(spark, sf_dir))
-    root = _built.get(key)
-    if root is None or not store.is_committed(spark, root):
+    known = _built.get(key)
+    if known is None or not store.is_committed(spark, known.root):
         root = store.new_run(f"{base}/inputs")
         csv_events.store_raw(spark, events_from_order_lines(spark, sf_dir), root)
         star_plans.run_build(spark, root)
         store.commit(spark, root)
-        _built[key] = root
-    return root
+        known = Built(root, csv_events.raw_events(spark, root), star_plans.read_star(spark, root))
+        _built[key] = known
+    return known
 
 
 def comparable(result: DataFrame) -> DataFrame:
@@ -63,21 +75,21 @@ def comparable(result: DataFrame) -> DataFrame:
 
 def _on_star(plan: Callable[[Star], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(plan(star_plans.read_star(spark, built_root(spark, sf_dir))))
+        return comparable(plan(built(spark, sf_dir).star))
 
     return run
 
 
 def _on_raw(plan: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(plan(csv_events.raw_events(spark, built_root(spark, sf_dir))))
+        return comparable(plan(built(spark, sf_dir).raw))
 
     return run
 
 
 def _raw_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw events written as CSV text and loaded again."""
-    source = csv_events.raw_events(spark, built_root(spark, sf_dir))
+    source = built(spark, sf_dir).raw
     run = store.new_run(f"{work_dir(spark)}/csv")
     text = source.withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS z"))
     text.write.option("header", True).csv(f"{run}/events")
@@ -87,8 +99,9 @@ def _raw_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the published results, read back from their CSV files."""
-    root = built_root(spark, sf_dir)
-    marts.publish_all(spark, star_plans.read_star(spark, root), root)
+    tables = built(spark, sf_dir)
+    root = tables.root
+    marts.publish_all(spark, tables.star, root)
     counts = [
         marts.read_published(spark, name, root).agg(
             F.lit(name).alias("result"), F.count("*").alias("row_count")
@@ -103,10 +116,10 @@ def _published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _published_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published funnel, from its CSV."""
-    root = built_root(spark, sf_dir)
+    tables = built(spark, sf_dir)
+    root = tables.root
     run = store.new_run(f"{root}/marts")
-    star = star_plans.read_star(spark, root)
-    marts.publish("funnel_overall", marts.PUBLISHED["funnel_overall"](star), run)
+    marts.publish("funnel_overall", marts.PUBLISHED["funnel_overall"](tables.star), run)
     store.commit(spark, run)
     published = marts.read_published(spark, "funnel_overall", root)
     return published.select(

@@ -1,6 +1,7 @@
 """The star schema: users, products, sessions and deduplicated events."""
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,27 @@ from cartwright.sources import store
 from cartwright.sources.csv_events import raw_events
 
 
-@dataclass(frozen=True)
 class Star:
-    users: DataFrame
-    products: DataFrame
-    sessions: DataFrame
-    events: DataFrame
+    """The four tables; each is opened, and its files listed, when first used."""
+
+    def __init__(self, table: Callable[[str], DataFrame]):
+        self._table = table
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._table("dim_users")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._table("dim_products")
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self._table("fct_sessions")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._table("fct_events")
 
 
 TABLES = {
@@ -124,12 +140,13 @@ def fct_events(raw: DataFrame, unpriced: DataFrame) -> DataFrame:
 
 def build_star(raw: DataFrame) -> Star:
     """The four tables as plans over raw, nothing stored."""
-    return Star(
-        users=dim_users(raw),
-        products=dim_products(raw),
-        sessions=fct_sessions(raw),
-        events=fct_events(raw, unpriced_products(raw)),
-    )
+    plans = {
+        "dim_users": lambda: dim_users(raw),
+        "dim_products": lambda: dim_products(raw),
+        "fct_sessions": lambda: fct_sessions(raw),
+        "fct_events": lambda: fct_events(raw, unpriced_products(raw)),
+    }
+    return Star(lambda name: plans[name]())
 
 
 def run_build(spark: SparkSession, root: str) -> DataFrame:
@@ -157,8 +174,7 @@ def run_build(spark: SparkSession, root: str) -> DataFrame:
 def read_star(spark: SparkSession, root: str) -> Star:
     """The star as last built below root."""
     run = store.latest_run(spark, f"{root}/star")
-    tables = [store.read_table(spark, f"{run}/{name}", schema) for name, schema in TABLES.items()]
-    return Star(*tables)
+    return Star(lambda name: store.read_table(spark, f"{run}/{name}", TABLES[name]))
 
 
 def row_counts(star: Star) -> DataFrame:
