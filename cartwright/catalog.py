@@ -74,17 +74,11 @@ def comparable(result: DataFrame) -> DataFrame:
 
 
 def _on_star(plan: Callable[[Star], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(plan(built(spark, sf_dir).star))
-
-    return run
+    return lambda spark, sf_dir: comparable(plan(built(spark, sf_dir).star))
 
 
 def _on_raw(plan: Callable[[DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(plan(built(spark, sf_dir).raw))
-
-    return run
+    return lambda spark, sf_dir: comparable(plan(built(spark, sf_dir).raw))
 
 
 def _raw_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,53 +128,59 @@ def _raw_count(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count("*").alias("row_count"))
 
 
-QUERIES: dict[str, Query] = {
-    # load and audit
-    "raw_events_row_count": _on_raw(_raw_count),
-    "raw_events_through_csv": _raw_through_csv,
-    "profile_nulls": _on_raw(quality.null_counts),
-    "profile_exact_dups": _on_raw(quality.exact_duplicates),
-    "profile_near_dups": _on_raw(quality.same_second_duplicates),
-    "profile_midnight": _on_raw(quality.midnight_sessions),
-    "profile_price": _on_raw(quality.price_anomalies),
-    "profile_event_types": _on_raw(quality.event_types),
-    "profile_date_range": _on_raw(quality.date_range),
-    "profile_report": _on_raw(quality.profile),
+RAW_PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "raw_events_row_count": _raw_count,
+    "profile_nulls": quality.null_counts,
+    "profile_exact_dups": quality.exact_duplicates,
+    "profile_near_dups": quality.same_second_duplicates,
+    "profile_midnight": quality.midnight_sessions,
+    "profile_price": quality.price_anomalies,
+    "profile_event_types": quality.event_types,
+    "profile_date_range": quality.date_range,
+    "profile_report": quality.profile,
+}
+
+STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     # star schema
-    "dim_users": _on_star(lambda s: s.users),
-    "dim_products": _on_star(lambda s: s.products),
-    "fct_sessions": _on_star(lambda s: s.sessions),
-    "fct_events": _on_star(lambda s: s.events),
-    "star_row_counts": _on_star(star_plans.row_counts),
-    "constraint_violations": _on_star(quality.constraint_violations),
+    "dim_users": lambda s: s.users,
+    "dim_products": lambda s: s.products,
+    "fct_sessions": lambda s: s.sessions,
+    "fct_events": lambda s: s.events,
+    "star_row_counts": star_plans.row_counts,
+    "constraint_violations": quality.constraint_violations,
     # funnel
-    "funnel_overall": _on_star(funnel.funnel_overall),
-    "funnel_by_price_band": _on_star(funnel.funnel_by_price_band),
-    "funnel_by_brand": _on_star(funnel.funnel_by_brand),
-    "funnel_by_dow": _on_star(funnel.funnel_by_dow),
+    "funnel_overall": funnel.funnel_overall,
+    "funnel_by_price_band": funnel.funnel_by_price_band,
+    "funnel_by_brand": funnel.funnel_by_brand,
+    "funnel_by_dow": funnel.funnel_by_dow,
     # cohorts and retention
-    "cohorts": _on_star(cohorts.cohorts),
-    "cohort_d60_status": _on_star(cohorts.cohort_d60_status),
-    "repeat_rates": _on_star(retention.repeat_rates),
-    "buyer_activity": _on_star(retention.buyer_activity),
+    "cohorts": cohorts.cohorts,
+    "cohort_d60_status": cohorts.cohort_d60_status,
+    "repeat_rates": retention.repeat_rates,
+    "buyer_activity": retention.buyer_activity,
     # revenue
-    "arpu_by_price_band": _on_star(revenue.arpu_by_price_band),
-    "arpu_by_category": _on_star(revenue.arpu_by_category),
-    "aov_by_price_band": _on_star(revenue.aov_by_price_band),
-    "arpu_aov_by_band": _on_star(revenue.arpu_aov_by_band),
-    "quintiles": _on_star(revenue.quintiles),
-    "overview": _on_star(overview.overview),
+    "arpu_by_price_band": revenue.arpu_by_price_band,
+    "arpu_by_category": revenue.arpu_by_category,
+    "aov_by_price_band": revenue.aov_by_price_band,
+    "arpu_aov_by_band": revenue.arpu_aov_by_band,
+    "quintiles": revenue.quintiles,
+    "overview": overview.overview,
     # display shapes
-    "funnel_long": _on_star(lambda s: shapes.funnel_long(funnel.funnel_overall(s))),
-    "bands_labelled": _on_star(lambda s: shapes.with_band_labels(funnel.funnel_by_price_band(s))),
-    "arpu_bands_labelled": _on_star(lambda s: shapes.with_band_labels(revenue.arpu_aov_by_band(s))),
-    "weekdays_labelled": _on_star(lambda s: shapes.with_weekday_labels(funnel.funnel_by_dow(s))),
-    "cohort_heatmap_long": _on_star(lambda s: shapes.cohort_heatmap_long(cohorts.cohorts(s))),
-    "cohort_table": _on_star(lambda s: shapes.cohort_table(cohorts.cohorts(s))),
-    "repeat_table": _on_star(lambda s: shapes.repeat_table(retention.repeat_rates(s))),
-    "top_categories": _on_star(lambda s: shapes.top_categories(revenue.arpu_by_category(s))),
-    "quintile_shares_labelled": _on_star(lambda s: shapes.quintile_shares(revenue.quintiles(s))),
-    # publishing
+    "funnel_long": lambda s: shapes.funnel_long(funnel.funnel_overall(s)),
+    "bands_labelled": lambda s: shapes.with_band_labels(funnel.funnel_by_price_band(s)),
+    "arpu_bands_labelled": lambda s: shapes.with_band_labels(revenue.arpu_aov_by_band(s)),
+    "weekdays_labelled": lambda s: shapes.with_weekday_labels(funnel.funnel_by_dow(s)),
+    "cohort_heatmap_long": lambda s: shapes.cohort_heatmap_long(cohorts.cohorts(s)),
+    "cohort_table": lambda s: shapes.cohort_table(cohorts.cohorts(s)),
+    "repeat_table": lambda s: shapes.repeat_table(retention.repeat_rates(s)),
+    "top_categories": lambda s: shapes.top_categories(revenue.arpu_by_category(s)),
+    "quintile_shares_labelled": lambda s: shapes.quintile_shares(revenue.quintiles(s)),
+}
+
+QUERIES: dict[str, Query] = {
+    **{name: _on_raw(plan) for name, plan in RAW_PLANS.items()},
+    **{name: _on_star(plan) for name, plan in STAR_PLANS.items()},
+    "raw_events_through_csv": _raw_through_csv,
     "published_row_counts": _published_rows,
     "published_funnel": _published_funnel,
 }
