@@ -29,23 +29,25 @@ def events_from_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts, F.col("l_partkey") == F.col("p_partkey")
     )
     order, line = F.col("l_orderkey"), F.col("l_linenumber")
-    placed = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    first_view = placed + (F.pmod(order * 7919, F.lit(86400)) + line * 600) * _SECOND
+    bought = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    # Event type, microseconds after the first view, and the lines it happens on.
+    happenings = [
+        (V.VIEW, 0, F.lit(True)),
+        (V.CART, 60 * _SECOND, F.col("l_returnflag").isin("A", "N")),
+        (V.PURCHASE, 120 * _SECOND, bought),
+        (V.VIEW, 250_000, F.pmod(order + line, F.lit(50)) == 0),
+    ]
+    numbers = F.array(*[F.when(happens, F.lit(i)) for i, (_, _, happens) in enumerate(happenings)])
 
-    def event(event_type: str, after_us: int, happens: Column) -> Column:
-        at = first_view + F.lit(after_us)
-        return F.when(happens, F.struct(F.lit(event_type).alias("kind"), at.alias("at")))
+    def by_number(field: int) -> Column:
+        return F.element_at(F.array(*[F.lit(h[field]) for h in happenings]), F.col("number") + 1)
 
-    bought = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
-    events = F.array(
-        event(V.VIEW, 0, F.lit(True)),
-        event(V.CART, 60 * _SECOND, F.col("l_returnflag").isin("A", "N")),
-        event(V.PURCHASE, 120 * _SECOND, bought),
-        event(V.VIEW, 250_000, F.pmod(order + line, F.lit(50)) == 0),
-    )
+    placed = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    first_view = placed + (F.pmod(order * 7919, F.lit(86400)) + line * 600) * _SECOND
     line_price = F.col("l_extendedprice").cast("decimal(14,2)") * F.lit("0.01").cast("decimal(2,2)")
     per_line = joined.select(
-        F.explode(F.array_compact(events)).alias("event"),
+        F.explode(numbers).alias("number"),
+        first_view.alias("first_view"),
         F.col("l_partkey").alias("product_id"),
         F.col("p_size").cast("bigint").alias("category_id"),
         F.when(
@@ -59,8 +61,8 @@ def events_from_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.when(F.pmod(order, F.lit(97)) != 0, order.cast("string")).alias("user_session"),
     )
-    return per_line.select(
-        F.timestamp_micros("event.at").alias("event_time"),
-        F.col("event.kind").alias("event_type"),
+    return per_line.where(F.col("number").isNotNull()).select(
+        F.timestamp_micros(F.col("first_view") + by_number(1)).alias("event_time"),
+        by_number(0).alias("event_type"),
         *V.RAW_COLUMNS[2:],
     )
