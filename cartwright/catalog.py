@@ -55,13 +55,13 @@ def built(spark: SparkSession, sf_dir: str) -> Built:
 
 
 def comparable(result: DataFrame) -> DataFrame:
-    """Types every engine prints alike: epoch microseconds, ISO dates, doubles for cents."""
+    """Types every engine prints alike: ISO text for times and dates, doubles for decimals."""
     columns = []
     for field in result.schema:
         column = F.col(f"`{field.name}`")
         name = field.name
         if isinstance(field.dataType, T.TimestampType):
-            column, name = F.unix_micros(column), f"{name}_us"
+            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(field.dataType, T.DayTimeIntervalType):
             epoch = F.timestamp_micros(F.lit(0))
             column, name = F.unix_micros(epoch + column), f"{name}_us"
