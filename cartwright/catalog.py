@@ -38,20 +38,23 @@ def _input_version(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(store.content_version(spark, f"{sf_dir}/{t}.parquet") for t in INPUT_TABLES)
 
 
+def build(spark: SparkSession, sf_dir: str) -> Built:
+    """Derive and store the raw events of these inputs and the star over them."""
+    prepare(spark)
+    root = store.new_run(f"{work_dir(spark)}/inputs")
+    csv_events.store_raw(spark, events_from_order_lines(spark, sf_dir), root)
+    star_plans.run_build(spark, root)
+    store.commit(spark, root)
+    return Built(root, csv_events.raw_events(spark, root), star_plans.read_star(spark, root))
+
+
 def built(spark: SparkSession, sf_dir: str) -> Built:
     """The tables of these inputs, built on first use and after every change of the inputs."""
     prepare(spark)
-    base = work_dir(spark)
-    key = (base, sf_dir, _input_version(spark, sf_dir))
-    known = _built.get(key)
-    if known is None or not store.is_committed(spark, known.root):
-        root = store.new_run(f"{base}/inputs")
-        csv_events.store_raw(spark, events_from_order_lines(spark, sf_dir), root)
-        star_plans.run_build(spark, root)
-        store.commit(spark, root)
-        known = Built(root, csv_events.raw_events(spark, root), star_plans.read_star(spark, root))
-        _built[key] = known
-    return known
+    key = (work_dir(spark), sf_dir, _input_version(spark, sf_dir))
+    if key not in _built or not store.is_committed(spark, _built[key].root):
+        _built[key] = build(spark, sf_dir)
+    return _built[key]
 
 
 def comparable(result: DataFrame) -> DataFrame:

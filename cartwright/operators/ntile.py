@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwright.sources.store import stored_once
+
 
 def ntile_of_values(rows: DataFrame, value: str, tiles: int) -> DataFrame:
     """How many rows of each distinct value fall in each tile, highest value first.
@@ -10,13 +12,11 @@ def ntile_of_values(rows: DataFrame, value: str, tiles: int) -> DataFrame:
     Returns (value, tile, rows). Equal values are interchangeable within a ranking, so the input
     is first counted per distinct value: a value shared by a third of all rows is one row from
     then on. Ranks are the offset of the range partition plus a running count inside it. Range
-    bounds come from sampling and may differ when recomputed, hence the checkpoint.
+    bounds come from sampling and may differ when recomputed, hence the stored table.
     """
     counted = rows.groupBy(value).agg(F.count("*").alias("n"))
-    ranged = (
-        counted.repartitionByRange(F.col(value).desc())
-        .withColumn("part", F.spark_partition_id())
-        .checkpoint()
+    ranged = stored_once(
+        counted.repartitionByRange(F.col(value).desc()).withColumn("part", F.spark_partition_id())
     )
 
     # One row per range partition, so this window and broadcast are bounded by their number.

@@ -1,6 +1,7 @@
 """The published results: computed from the star, stored as CSV with a header."""
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +33,17 @@ def publish(name: str, result: DataFrame, run: str) -> None:
     result.coalesce(1).write.option("header", True).csv(f"{run}/{name}")
 
 
-def publish_all(spark: SparkSession, star: Star, root: str) -> str:
-    """Publish every result in one run; readers switch to it when all are written."""
+def publish_all(spark: SparkSession, star: Star, root: str, at_once: int = 4) -> str:
+    """Publish every result in one run; readers switch to it when all are written.
+
+    The results do not depend on each other, so a few are computed at once.
+    """
     run = store.new_run(f"{root}/marts")
-    for name, plan in PUBLISHED.items():
-        publish(name, plan(star), run)
+    results = {name: plan(star) for name, plan in PUBLISHED.items()}
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(publish, name, result, run) for name, result in results.items()]
+        for job in jobs:
+            job.result()
     store.commit(spark, run)
     return run
 

@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from cartwright.session import work_dir
+
 _COMMIT_MARK = "_COMMITTED"
 
 
@@ -55,6 +57,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path).select(schema.names)
 
 
+def stored_once(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared working folder and read back, so they never change."""
+    spark = rows.sparkSession
+    path = new_run(f"{work_dir(spark)}/cut")
+    write_table(rows, path)
+    return read_table(spark, path, rows.schema)
+
+
 def content_version(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Files, bytes and last change of a file or folder, without reading it."""
     fs, hadoop_path = _filesystem(spark, path)
