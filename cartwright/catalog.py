@@ -174,6 +174,7 @@ STAR_PLANS: dict[str, Callable[[Star], DataFrame]] = {
     "arpu_bands_labelled": lambda s: shapes.with_band_labels(revenue.arpu_aov_by_band(s)),
     "weekdays_labelled": lambda s: shapes.with_weekday_labels(funnel.funnel_by_dow(s)),
     "cohort_heatmap_long": lambda s: shapes.cohort_heatmap_long(cohorts.cohorts(s)),
+    "cohort_heatmap": lambda s: shapes.cohort_heatmap(cohorts.cohorts(s)),
     "cohort_table": lambda s: shapes.cohort_table(cohorts.cohorts(s)),
     "repeat_table": lambda s: shapes.repeat_table(retention.repeat_rates(s)),
     "top_categories": lambda s: shapes.top_categories(revenue.arpu_by_category(s)),

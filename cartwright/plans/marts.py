@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwright.plans import cohorts, funnel, overview, retention, revenue
-from cartwright.plans.star import Star
+from cartwright.plans.star import Star, read_star
 from cartwright.sources import store
 
 
@@ -59,8 +59,6 @@ def compute_or_published(spark: SparkSession, name: str, root: str) -> DataFrame
 
     Only a missing star falls back; an error in the query itself is raised.
     """
-    from cartwright.plans.star import read_star
-
     try:
         star = read_star(spark, root)
     except store.NothingStored:

@@ -1,8 +1,9 @@
 """Audit of the raw events and of the star's keys."""
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright import fixed_values as V
@@ -92,23 +93,27 @@ def profile(raw: DataFrame) -> DataFrame:
     if raw.isEmpty():
         raise ValueError("raw_events is empty; load a CSV first")
 
-    def as_text(column):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    def check_of_scan(metric: Column) -> Column:
+        return (
+            F.when(metric.endswith("_price_rows"), "price_anomalies")
+            .when(metric.isin("min_event_time", "max_event_time"), "date_range")
+            .otherwise("null_counts")
+        )
 
-    def long(frame, check_of):
-        names = frame.columns
-        texts = frame.select(*[F.col(n).cast("string").alias(n) for n in names])
-        melted = texts.unpivot([], names, "metric", "value")
-        return melted.select(check_of(F.col("metric")).alias("check"), "metric", "value")
+    def melted(result: DataFrame, check_of: Callable[[Column], Column]) -> DataFrame:
+        names = result.columns
+        texts = result.select(*[F.col(n).cast("string").alias(n) for n in names])
+        long = texts.unpivot([], names, "metric", "value")
+        return long.select(check_of(F.col("metric")).alias("check"), "metric", "value")
 
-    one_scan = raw.agg(*_null_counts(), *_price_counts(), *_time_bounds())
-    one_scan = one_scan.withColumns(
-        {name: as_text(F.col(name)) for name in ("min_event_time", "max_event_time")}
-    )
-    kind = lambda m: (
-        F.when(m.endswith("_price_rows"), "price_anomalies")
-        .when(m.endswith("_event_time") & ~m.startswith("null_"), "date_range")
-        .otherwise("null_counts")
+    def named(check: str) -> Callable[[Column], Column]:
+        return lambda metric: F.lit(check)
+
+    one_scan = raw.agg(*_null_counts(), *_price_counts(), *_time_bounds()).withColumns(
+        {
+            name: F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            for name in ("min_event_time", "max_event_time")
+        }
     )
     types = event_types(raw).select(
         F.lit("event_types").alias("check"),
@@ -116,10 +121,10 @@ def profile(raw: DataFrame) -> DataFrame:
         F.col("n").cast("string").alias("value"),
     )
     parts = [
-        long(one_scan, kind),
-        long(exact_duplicates(raw), lambda m: F.lit("exact_duplicates")),
-        long(same_second_duplicates(raw), lambda m: F.lit("same_second_duplicates")),
-        long(midnight_sessions(raw), lambda m: F.lit("midnight_sessions")),
+        melted(one_scan, check_of_scan),
+        melted(exact_duplicates(raw), named("exact_duplicates")),
+        melted(same_second_duplicates(raw), named("same_second_duplicates")),
+        melted(midnight_sessions(raw), named("midnight_sessions")),
         types,
     ]
     return reduce(DataFrame.unionAll, parts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cartwright import fixed_values as V
 from cartwright.functions.exact import pct
 from cartwright.functions.labels import label, position
+from cartwright.sources.store import stored_once
 
 
 def funnel_long(overall: DataFrame) -> DataFrame:
@@ -58,10 +59,14 @@ def cohort_heatmap_long(cohorts: DataFrame) -> DataFrame:
 
 
 def cohort_heatmap(cohorts: DataFrame) -> DataFrame:
-    """Windows as rows, cohort weeks as columns."""
+    """Windows as rows, cohort weeks as columns.
+
+    A pivot first asks for the weeks and then for the rates; the small long form is stored
+    between the two, so that the cohorts are computed once.
+    """
     order = {name: days for days, name in V.WINDOW_LABELS.items()}
     return (
-        cohort_heatmap_long(cohorts)
+        stored_once(cohort_heatmap_long(cohorts))
         .groupBy("window")
         .pivot("cohort_week")
         .agg(F.first("rate_pct"))

@@ -15,9 +15,9 @@ _SECOND = 1_000_000
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores when a scan has fewer tasks than that; a large scan is left as it is."""
+    """Use all cores when a scan would leave most of them idle; a larger scan is left as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 < cores else rows
 
 
 def events_from_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

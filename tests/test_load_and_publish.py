@@ -1,11 +1,13 @@
 """CSV loading, whole-table refresh and publishing."""
 
+import shutil
 from datetime import date
 from decimal import Decimal
 
 import pytest
 from micro import event, raw_table, rows
 
+from cartwright.catalog import QUERIES
 from cartwright.fixed_values import NULL_TOKENS, RAW_COLUMNS
 from cartwright.plans import marts
 from cartwright.plans.star import read_star, run_build
@@ -127,3 +129,16 @@ def test_uncommitted_run_is_invisible(spark, tmp_path):
     unfinished = store.new_run(f"{root}/raw")
     store.write_table(raw_table(spark), f"{unfinished}/raw_events")
     assert csv_events.raw_events(spark, root).count() == 1
+
+
+def test_changed_inputs_are_built_again(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    folder = str(tmp_path)
+    for name in ("orders", "part"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", folder)
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    query = QUERIES["raw_events_row_count"]
+    before = query(spark, folder).first().row_count
+    assert query(spark, folder).first().row_count == before
+    lines.limit(100).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    assert query(spark, folder).first().row_count > before
