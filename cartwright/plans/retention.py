@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwright import fixed_values as V
-from cartwright.functions import events as E
 from cartwright.functions.exact import pct
 from cartwright.plans.activity import active_days
 from cartwright.plans.star import Star
@@ -21,11 +20,10 @@ def repeat_rates(star: Star) -> DataFrame:
     first bought products of two bands at one moment counts in both. Whether a later purchase
     exists is read off the user's last one, so purchases are never joined to each other.
     """
-    purchases = star.events.where(E.is_type(V.PURCHASE))
-    last_purchase = purchases.groupBy("user_id").agg(F.max("event_time").alias("last_purchase"))
+    last_purchase = star.purchases.groupBy("user_id").agg(F.max("event_time").alias("last_purchase"))
     buyers = _buyers(star).join(last_purchase, "user_id")
 
-    first_items = purchases.where(F.col("price") > 0).select(
+    first_items = star.purchases.where(F.col("price") > 0).select(
         "user_id", F.col("event_time").alias("first_purchase"), "product_id"
     )
     per_buyer = (

@@ -4,17 +4,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwright import fixed_values as V
-from cartwright.functions import events as E
 from cartwright.functions.exact import money, pct, ratio_2dp
 from cartwright.operators.ntile import ntile_of_values
 from cartwright.plans.star import Star
 
 
+def _paid(star: Star) -> DataFrame:
+    return star.purchases.where(F.col("price") > 0)
+
+
 def _revenue_by(star: Star, slice_name: str, value: Column) -> DataFrame:
     """Buyers, purchases and exact revenue per product attribute, one row per buyer first."""
     products = star.products.select("product_id", value.alias(slice_name))
     per_buyer = (
-        star.events.where(E.is_paid_purchase())
+        _paid(star)
         .join(products, "product_id")
         .groupBy(slice_name, "user_id")
         .agg(F.count("*").alias("purchases"), F.sum("price").alias("spend"))
@@ -56,9 +59,9 @@ def arpu_by_category(star: Star) -> DataFrame:
 
 def aov_by_price_band(star: Star) -> DataFrame:
     """Revenue per purchase event."""
-    purchases = star.events.where(E.is_paid_purchase())
     return (
-        purchases.join(star.products.select("product_id", "price_band"), "product_id")
+        _paid(star)
+        .join(star.products.select("product_id", "price_band"), "product_id")
         .groupBy("price_band")
         .agg(F.count("*").alias("purchase_events"), F.sum("price").alias("revenue"))
         .select("price_band", "purchase_events", _total(), _aov())
@@ -77,9 +80,7 @@ def arpu_aov_by_band(star: Star) -> DataFrame:
 def quintiles(star: Star, tiles: int = 5) -> DataFrame:
     """Buyers split into equal groups by spend, highest first, with each group's revenue."""
     spend = (
-        star.events.where(E.is_paid_purchase())
-        .groupBy("user_id")
-        .agg(F.sum("price").alias("total_spend"))
+        _paid(star).groupBy("user_id").agg(F.sum("price").alias("total_spend"))
     )
     per_tile = (
         ntile_of_values(spend, "total_spend", tiles)

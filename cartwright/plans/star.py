@@ -5,6 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwright import fixed_values as V
 from cartwright import schemas
@@ -36,6 +37,11 @@ class Star:
     def events(self) -> DataFrame:
         return self._table("fct_events")
 
+    @cached_property
+    def purchases(self) -> DataFrame:
+        """The purchase rows of fct_events."""
+        return self._table("purchases")
+
 
 TABLES = {
     "dim_users": schemas.DIM_USERS,
@@ -43,8 +49,10 @@ TABLES = {
     "fct_sessions": schemas.FCT_SESSIONS,
     "fct_events": schemas.FCT_EVENTS,
 }
-# Purchases are a few percent of events; a folder per type lets purchase queries skip the rest.
-PARTITIONED_BY = {"fct_events": ("event_type",)}
+# Purchases are a few percent of events; a folder of their own lets purchase queries skip the
+# rest. Types are free text, so all but the three known ones share a folder.
+_FOLDER = T.StructField("type_folder", T.StringType())
+_OTHER_TYPES = "other"
 
 
 def dim_users(raw: DataFrame) -> DataFrame:
@@ -145,6 +153,7 @@ def build_star(raw: DataFrame) -> Star:
         "dim_products": lambda: dim_products(raw),
         "fct_sessions": lambda: fct_sessions(raw),
         "fct_events": lambda: fct_events(raw, unpriced_products(raw)),
+        "purchases": lambda: plans["fct_events"]().where(E.is_type(V.PURCHASE)),
     }
     return Star(lambda name: plans[name]())
 
@@ -159,14 +168,13 @@ def run_build(spark: SparkSession, root: str) -> DataFrame:
     # Stored first, so that its real size decides how fct_events joins it.
     store.write_table(unpriced_products(raw), f"{run}/unpriced_products")
     unpriced = spark.read.schema("product_id bigint").parquet(f"{run}/unpriced_products")
-    built = {
-        "dim_users": dim_users(raw),
-        "dim_products": dim_products(raw),
-        "fct_sessions": fct_sessions(raw),
-        "fct_events": fct_events(raw, unpriced),
-    }
-    for name, table in built.items():
-        store.write_table(table, f"{run}/{name}", PARTITIONED_BY.get(name, ()))
+    store.write_table(dim_users(raw), f"{run}/dim_users")
+    store.write_table(dim_products(raw), f"{run}/dim_products")
+    store.write_table(fct_sessions(raw), f"{run}/fct_sessions")
+    known = F.col("event_type").isin(V.VIEW, V.CART, V.PURCHASE)
+    folder = F.when(known, F.col("event_type")).otherwise(_OTHER_TYPES)
+    events = fct_events(raw, unpriced).withColumn(_FOLDER.name, folder)
+    store.write_table(events, f"{run}/fct_events", (_FOLDER.name,))
     store.commit(spark, run)
     return row_counts(read_star(spark, root))
 
@@ -174,7 +182,15 @@ def run_build(spark: SparkSession, root: str) -> DataFrame:
 def read_star(spark: SparkSession, root: str) -> Star:
     """The star as last built below root."""
     run = store.latest_run(spark, f"{root}/star")
-    return Star(lambda name: store.read_table(spark, f"{run}/{name}", TABLES[name]))
+
+    def open_table(name: str) -> DataFrame:
+        if name != "purchases":
+            return store.read_table(spark, f"{run}/{name}", TABLES[name])
+        with_folder = T.StructType([*schemas.FCT_EVENTS, _FOLDER])
+        events = store.read_table(spark, f"{run}/fct_events", with_folder)
+        return events.where(F.col(_FOLDER.name) == V.PURCHASE).drop(_FOLDER.name)
+
+    return Star(open_table)
 
 
 def row_counts(star: Star) -> DataFrame:

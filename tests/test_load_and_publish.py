@@ -142,3 +142,15 @@ def test_changed_inputs_are_built_again(spark, tmp_path):
     assert query(spark, folder).first().row_count == before
     lines.limit(100).write.mode("append").parquet(f"{folder}/lineitem.parquet")
     assert query(spark, folder).first().row_count > before
+
+
+def test_any_event_type_is_stored_as_it_is(spark, tmp_path):
+    kinds = ["view", "purchase", "Purchase", "1", "01", "a=b/c", " x", "null", "%41", "", "other"]
+    events = [event("2020-10-05 10:00:00", kind=k, user=i) for i, k in enumerate(kinds)]
+    root = str(tmp_path / "root")
+    csv_events.store_raw(spark, raw_table(spark, *events), root)
+    run_build(spark, root)
+    star = read_star(spark, root)
+    assert rows(star.events, "user_id", "event_type") == list(enumerate(kinds))
+    assert rows(star.purchases, "user_id", "event_type") == [(1, "purchase")]
+    assert star.purchases.columns == star.events.columns == list(RAW_COLUMNS)

@@ -41,9 +41,9 @@ def test_dedup_limits_rows_before_the_exchange(tables):
 )
 def test_purchase_queries_read_the_purchase_folder_only(tables, query):
     scans = [line for line in plan_of(query(tables.star)).splitlines() if "FileScan" in line]
-    of_events = [line for line in scans if "event_type" in line]
-    assert of_events
-    assert all("(event_type#" in line.split("PartitionFilters")[1] for line in of_events)
+    of_events = [line for line in scans if "type_folder" in line]
+    assert of_events and not any("event_type" in line for line in scans)
+    assert all("= purchase)" in line.split("PartitionFilters")[1] for line in of_events)
 
 
 def test_price_filter_is_pushed_and_columns_are_pruned(tables):

@@ -59,6 +59,7 @@ def hot(spark, tmp_path_factory):
         plan = plans._table(name)
         plan.repartition(4).write.parquet(f"{folder}/{name}")
         tables[name] = spark.read.schema(plan.schema).parquet(f"{folder}/{name}")
+    tables["purchases"] = tables["fct_events"].where("event_type = 'purchase'")
 
     con = duckdb.connect()
     frame = pd.DataFrame(events, columns=RAW_COLUMNS)
