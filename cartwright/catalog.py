@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwright import fixed_values as V
 from cartwright.plans import cohorts, funnel, marts, overview, quality, retention, revenue, shapes
 from cartwright.plans import star as star_plans
 from cartwright.plans.star import Star
