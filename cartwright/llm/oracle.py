@@ -19,13 +19,13 @@ ORACLE = {
             FROM words
         ), sizes AS (
             SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id
-        ), overlaps AS (
+        ), meets AS (
             SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS overlap
             FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
             GROUP BY 1, 2
         ), links AS (
             SELECT x, y
-            FROM overlaps JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+            FROM meets JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
             WHERE 100 * overlap >= 75 * (a.size + b.size - overlap)
         ), reached AS (
             SELECT doc_id, doc_id AS other FROM documents
