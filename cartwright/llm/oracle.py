@@ -1,7 +1,7 @@
 """The same results as DuckDB SQL, where SQL can express them."""
 
 # Words of a text: runs of anything but the six blanks.
-_WORDS = r"list_filter(string_split_regex({text}, '[\x09-\x0D ]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex({text}, '[\x09-\x0D ]+'), lambda x: x <> '')"
 _LOWER = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
@@ -14,7 +14,7 @@ ORACLE = {
             SELECT DISTINCT doc_id, unnest(CASE
                 WHEN len(w) = 0 THEN []
                 WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             END) AS gram
             FROM words
         ), sizes AS (

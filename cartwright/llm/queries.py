@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwright.llm import ngram_join
+from cartwright.llm import language_id, ngram_join
 from cartwright.llm.shipping import ship
 
 
@@ -14,6 +14,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identified(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
+    "op8_language_id": op8_language_id,
 }
