@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwright.llm import language_id, ngram_join
+from cartwright.llm import language_id, ngram_join, pii
 from cartwright.llm.shipping import ship
 
 
@@ -14,6 +14,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(_table(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identified(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
@@ -21,5 +25,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
+    "op5_pii": op5_pii,
     "op8_language_id": op8_language_id,
 }
