@@ -36,4 +36,50 @@ ORACLE = {
         FROM reached LEFT JOIN sizes USING (doc_id)
         GROUP BY doc_id
     """,
+    "op6_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+                   coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D ]+')), 0)::BIGINT AS size
+            FROM documents
+        ), sums AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place
+            FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, 2 * source_size AS cap,
+                   CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+                   CASE place % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a,
+                   CASE place % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS b
+            FROM sums
+        ), levels AS (
+            -- the level if this source and all with a higher cap per weight share what is left
+            SELECT w.source, (1.5::DOUBLE * (SELECT sum(source_size) FROM sums)
+                    - coalesce(sum(o.cap) FILTER ((o.cap / o.weight, o.place) < (w.cap / w.weight, w.place)), 0))
+                   / sum(o.weight) FILTER ((o.cap / o.weight, o.place) >= (w.cap / w.weight, w.place)) AS level
+            FROM weighed w, weighed o GROUP BY w.source, w.cap, w.weight, w.place
+        ), opened AS (
+            SELECT w.*, l.level, cap <= l.level * weight AS full_up,
+                   first(CASE WHEN cap > l.level * weight THEN l.level END
+                         ORDER BY CASE WHEN cap > l.level * weight THEN 0 ELSE 1 END, cap / weight, place)
+                       OVER () AS final
+            FROM weighed w JOIN levels l ON l.source IS NOT DISTINCT FROM w.source
+        ), aims AS (
+            SELECT *, CASE WHEN full_up OR final IS NULL THEN cap ELSE final * weight END::DOUBLE AS target
+            FROM opened
+        ), placed AS (
+            SELECT s.doc_id, s.size, a.source_size, a.target, floor(a.target + 0.5)::BIGINT AS budget, a.a, a.b,
+                   sum(s.size) OVER (PARTITION BY a.place ORDER BY s.key, s.doc_id, s.size
+                                     ROWS UNBOUNDED PRECEDING)::BIGINT - s.size AS start
+            FROM sized s JOIN aims a ON a.source IS NOT DISTINCT FROM s.source
+        ), taken AS (
+            SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS runs FROM placed
+        ), parts AS (
+            SELECT *, (runs * size + greatest(0, least(size, budget - runs * source_size - start)))::BIGINT AS taken
+            FROM taken
+        )
+        SELECT doc_id, size, source_size, target, taken,
+               CASE WHEN taken > 0 THEN round((start / budget) * (a + b)
+                   / (a + sqrt(a * a + (b * b - a * a) * (start / budget))), 9) END AS position
+        FROM parts
+    """,
 }

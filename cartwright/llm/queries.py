@@ -1,11 +1,16 @@
 """The operators over their whole tables, as queries with fixed result columns."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartwright.llm import language_id, ngram_join, pii
+from cartwright.llm import bpe, language_id, mixing, ngram_join, pii
 from cartwright.llm.shipping import ship
 
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,13 +23,37 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(_table(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipe = mixing.Recipe()
+    rows = mixing.mixed(_table(spark, sf_dir, "documents"), recipe)
+    position = F.when(
+        F.col("taken") > 0, mixing.due(F.col("start"), F.col("budget"), F.col("turn"), recipe)
+    )
+    rows = rows.withColumn("position", F.round(position, 9)).orderBy("position", "source", "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identified(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = bpe.Vocabulary.read(RANKS)
+    rows = bpe.with_ids(docs.select("doc_id", "text"), vocabulary)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), vocabulary, docs), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op5_pii": op5_pii,
+    "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
+    "op10_bpe": op10_bpe,
 }

@@ -1,11 +1,23 @@
 """From raw documents to token ids: the stages of a corpus, each written before the next."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartwright.llm import ngram_join
+from cartwright.llm import bpe, language_id, mixing, ngram_join, pii
 from cartwright.llm.shipping import ship
 from cartwright.llm.tables import stored
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language; those without any letter go."""
+    ship(spark)
+    model = language_id.learn(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, model)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
@@ -13,8 +25,43 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return ngram_join.one_of_each(docs)
 
 
-STAGES = [("ngram_join", one_of_each_group)]
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; n_chars follows the text."""
+    ship(spark)
+    rows = pii.with_surrogates(docs)
+    return rows.withColumn(
+        "n_chars", F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
+    ).select(*docs.columns)
+
+
+def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document; n_chars follows the text."""
+    ship(spark)
+    return mixing.training_order(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, round_trip): token ids of whole texts, and whether
+    decoding them gives the text's bytes again."""
+    ship(spark)
+    vocabulary = bpe.Vocabulary.read(RANKS)
+    rows = bpe.with_ids(docs, vocabulary)
+    back = bpe.decoded(F.col("ids"), vocabulary, docs)
+    return rows.select(
+        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+        back.eqNullSafe(F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_join", one_of_each_group),
+    ("pii", without_personal_data),
+    ("mixing", in_training_order),
+    ("bpe", as_tokens),
+]
 
+# Language models, keyed surrogates and BPE are no SQL.
 ORACLE_SQL = None
 
 
