@@ -82,4 +82,56 @@ ORACLE = {
                    / (a + sqrt(a * a + (b * b - a * a) * (start / budget))), 9) END AS position
         FROM parts
     """,
+    "op4_lm_scoring": f"""
+        WITH words AS (
+            SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+        ), sizes AS (
+            SELECT doc_id, len(w) AS n, (SELECT sum(len(w)) FROM words) - len(w) AS others FROM words
+        ), tokens AS (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words
+        ), pairs AS (
+            SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM tokens
+        ), counted AS (
+            SELECT doc_id, i,
+                   count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY word, doc_id) AS ones,
+                   CASE WHEN before IS NOT NULL THEN count(*) OVER (PARTITION BY before, word)
+                        - count(*) OVER (PARTITION BY before, word, doc_id) END AS twos
+            FROM pairs
+        ), contexts AS (
+            SELECT *, lag(ones) OVER (PARTITION BY doc_id ORDER BY i) AS context FROM counted
+        ), shares AS (
+            SELECT doc_id, CASE
+                WHEN twos > 0 THEN twos / context
+                WHEN twos IS NOT NULL THEN 0.4::DOUBLE * CASE WHEN ones > 0 THEN ones / others ELSE 0.4::DOUBLE / others END
+                WHEN ones > 0 THEN ones / others
+                ELSE 0.4::DOUBLE / others END AS share
+            FROM contexts JOIN sizes USING (doc_id)
+            WHERE others > 0
+        ), sums AS (
+            SELECT doc_id, sum(log10(share)) AS log10_score FROM shares GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_words, round(log10_score / n, 6) AS mean_log10
+        FROM sizes LEFT JOIN sums USING (doc_id)
+    """,
+    "op7_substring_dedup": f"""
+        WITH words AS (
+            SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS edge
+            FROM words, unnest(range(1, len(w) - 11)) AS r(i)
+        ), firsts AS (
+            SELECT edge, min(doc_id) AS first_id FROM windows GROUP BY edge
+        ), removed AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place
+            FROM windows JOIN firsts USING (edge) WHERE first_id < doc_id
+        ), tokens AS (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM words
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS line
+            FROM tokens ANTI JOIN removed USING (doc_id, place) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(line, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)
+    """,
 }

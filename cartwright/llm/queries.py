@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import bpe, language_id, mixing, ngram_join, pii
+from cartwright.llm import bpe, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup
 from cartwright.llm.shipping import ship
 
 
@@ -19,6 +19,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_scoring.scored(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", F.round("mean_log10", 6).alias("mean_log10"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(_table(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
 
@@ -33,6 +38,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identified(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
@@ -52,8 +63,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op10_bpe": op10_bpe,
 }
