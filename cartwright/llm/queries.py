@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import bpe, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup
+from cartwright.llm import bpe, exact_topk, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup
 from cartwright.llm.shipping import ship
 
 
@@ -49,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     vocabulary = bpe.Vocabulary.read(RANKS)
@@ -68,5 +72,6 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
+    "op9_exact_topk": op9_exact_topk,
     "op10_bpe": op10_bpe,
 }
