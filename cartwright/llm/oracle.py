@@ -151,4 +151,46 @@ ORACLE = {
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,
+    "op2_host_rules": f"""
+        WITH words AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)),
+                               lambda x: regexp_matches(x, '[^\\x09-\\x0D ]')) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram
+            FROM words, unnest(range(1, len(w) - 6)) AS r(i)
+        ), repeated AS (
+            SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT place) AS n
+            FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM repeated) GROUP BY doc_id
+        ), counted AS (
+            SELECT doc_id, source, len(w) AS n_words,
+                   length(regexp_replace(text, '[\\x09-\\x0D ]', '', 'g')) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                   coalesce(n, 0) AS n_repeat_words
+            FROM words LEFT JOIN covered USING (doc_id)
+        ), based AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+        ), hosts AS (
+            SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM based GROUP BY source
+        ), overall AS (
+            SELECT sum(failed) / sum(docs) AS mean, count(*) AS hosts FROM hosts
+        ), spread AS (
+            SELECT mean, CASE WHEN hosts > 1
+                THEN (SELECT sum((failed / docs - mean) ** 2) FROM hosts) / (hosts - 1) ELSE 0 END AS variance
+            FROM overall
+        ), prior AS (
+            SELECT mean, least(greatest(
+                CASE WHEN variance > 0 THEN mean * (1 - mean) / variance - 1 ELSE 1e6 END, 1), 1e6) AS strength
+            FROM spread
+        ), rates AS (
+            SELECT source, (failed + mean * strength) / (docs + strength) AS rate FROM hosts, prior
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6)::DOUBLE AS host_rate
+        FROM based b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source
+    """,
 }

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import bpe, exact_topk, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup
+from cartwright.llm import bpe, exact_topk, host_rules, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup
 from cartwright.llm.shipping import ship
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judged(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"),
+    )
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_host_rules": op2_host_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
