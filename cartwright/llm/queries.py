@@ -4,7 +4,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import bpe, exact_topk, host_rules, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup
+from cartwright.llm import (
+    bpe, exact_topk, host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
+    substring_dedup,
+)
 from cartwright.llm.shipping import ship
 
 
@@ -15,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extracted(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.length("text").cast("bigint").alias("n_chars"), "text")
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -73,6 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_host_rules": op2_host_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_lm_scoring": op4_lm_scoring,
