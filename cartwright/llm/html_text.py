@@ -268,7 +268,7 @@ class _Layout:
         if lines:
             self._begin()
             self.lines.append(f"{first}{lines[0]}")
-            self.lines += [f"{others}{line}" if line else "" for line in lines[1:]]
+            self.lines += [f"{others}{line}".rstrip() for line in lines[1:]]
 
     def done(self) -> list[str]:
         self.end_line()

@@ -14,6 +14,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from cartwright.llm.tables import stored
@@ -163,7 +164,7 @@ def training_order(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, as no session may run yet
 def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
     """The texts up to the end of so many words; null for null, as almost all are."""
 

@@ -1,0 +1,86 @@
+"""Surrogates: found, one to one, the same everywhere, of the same form."""
+
+import re
+
+from cartwright.llm import ciphers, pii
+from frames import documents, odd_rows
+
+
+def test_permutations_are_one_to_one():
+    for size in (1, 2, 3, 10, 97, 1000):
+        assert sorted(ciphers.permuted(b"k", "n", i, size) for i in range(size)) == list(range(size))
+    assert ciphers.permuted(b"k", "n", 5, 1000) != ciphers.permuted(b"other", "n", 5, 1000)
+
+
+def test_words_keep_their_make_up():
+    new = ciphers.reworded(b"k", "n", "Ab-9 éж日", ciphers.TEXT_ALPHABETS)
+    assert re.fullmatch(r"[A-Z][a-z]-\d [à-ÿœšž][а-я][一-龥]", new)
+    letters = [a + b for a in "abcdefgh" for b in "xyz"]
+    assert len({ciphers.reworded(b"k", "n", w, ciphers.TEXT_ALPHABETS) for w in letters}) == len(letters)
+
+
+def test_forms():
+    text = (
+        "Mail JOHN.19@MAIL5.EXAMPLE.COM or john.19@mail5.example.com; call +1 (743) 555-3824, 743-555-3824. "
+        "IP 8.196.197.208, card 4111 1111 1111 1111 and 4111111111111111, ssn 078-05-1120, GB82 WEST 1234 5698 7654 32, "
+        'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff".'
+    )
+    new, count = pii.replaced(text, {})
+    assert count == 10
+    mails = re.findall(r"[\w.]+@[\w.]+", new)
+    assert mails[0] == mails[1].upper() and re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", mails[1])
+    phones = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4}), (\d{3})-(\d{3})-(\d{4})\.", new)[0]
+    assert phones[:3] == phones[3:]
+    cards = [c.replace(" ", "") for c in re.findall(r"card ([\d ]+) and (\d+)", new)[0]]
+    assert cards[0] == cards[1] and pii.luhn_valid(cards[0]) and cards[0][0] == "4"
+    assert pii._iban_valid(re.search(r"GB\d\d [A-Z]{4}[\d ]{18}", new)[0].replace(" ", ""))
+    assert re.search(r'token = "[0-9a-f]{40}"', new)
+    old = [e.canonical for e in pii.entities(text)]
+    assert not set(old) & {e.canonical for e in pii.entities(new)}
+
+
+def test_names_keep_gender_script_and_coreference():
+    new, count = pii.replaced("Mrs. Mary Smith met Mr Smith, Herr Müller and Госпожа Анна Петрова.", {})
+    assert count == 6
+    found = re.fullmatch(r"Mrs. (\w+) (\w+) met Mr (\w+), Herr (\w+) and Госпожа (\w+) (\w+)\.", new)
+    assert found and found[1] in pii.GIVEN["f"][0] and found[2] == found[3] != "Smith"
+    assert found[5] in pii.GIVEN["f"][1] and re.fullmatch("[А-Яа-я]+", found[6])
+
+
+def test_clean_texts_stay():
+    for text in (
+        "Version 2.0. and 4.0. of 300.1.2.3 at 12:30", "9807915762804490 fails the check", "a@b", "1.2.3", "",
+        "Licensed under the GNU General Public License, version 3.", "0000000000000000", "ISBN 978-3-16-148410-0",
+    ):
+        assert pii.replaced(text, {}) == (text, 0)
+    assert pii.replaced(None, {}) == (None, 0)
+
+
+def test_collisions_get_another_surrogate(spark):
+    taken = pii.surrogate("email", "ann.1@mail.example.com")
+    other = pii.surrogate("ip", "9.9.9.9")
+    rows = [(1, f"write ann.1@mail.example.com, from 9.9.9.9, {other}"), (2, f"or {taken} or ANN.1@mail.example.com")]
+    result = {r["doc_id"]: r["text"] for r in pii.with_surrogates(documents(spark, rows)).collect()}
+    first = [e.canonical for e in pii.entities(result[1])]
+    second = [e.canonical for e in pii.entities(result[2])]
+    real = {e.canonical for _, text in rows for e in pii.entities(text)}
+    assert len(set(first + second)) == 4 and not real & set(first + second)
+    assert first[0] == second[1]
+
+
+def test_many_collisions_are_joined(spark, monkeypatch):
+    taken = pii.surrogate("ip", "9.9.9.9")
+    rows = [(1, "from 9.9.9.9"), (2, f"from {taken}"), (3, "nothing")]
+    carried = {r["doc_id"]: r["text"] for r in pii.with_surrogates(documents(spark, rows)).collect()}
+    monkeypatch.setattr(pii, "CARRIED", 0)
+    joined = {r["doc_id"]: r["text"] for r in pii.with_surrogates(documents(spark, rows)).collect()}
+    assert joined == carried and carried[1] not in (rows[0][1], rows[1][1]) and carried[3] == "nothing"
+
+
+def test_odd_rows(spark):
+    rows = odd_rows()
+    docs = documents(spark, rows).withColumnRenamed("lang", "n_replaced").withColumnRenamed("source", "choices")
+    result = pii.with_surrogates(docs.drop("choices"))
+    assert sorted(map(str, (r["text"] for r in result.collect()))) == sorted(str(r[1]) for r in rows)
+    assert {r["n_replaced"] for r in result.collect()} == {0}
+    assert pii.with_surrogates(documents(spark, [])).count() == 0
