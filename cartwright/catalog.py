@@ -4,8 +4,10 @@ The star is built and stored once per application and input version; all queries
 stored tables, as they would in production.
 """
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,12 @@ def _input_version(spark: SparkSession, sf_dir: str) -> tuple:
 def build(spark: SparkSession, sf_dir: str) -> Built:
     """Derive and store the raw events of these inputs and the star over them."""
     prepare(spark)
-    root = store.new_run(f"{work_dir(spark)}/inputs")
+    inputs = f"{work_dir(spark)}/inputs/{zlib.crc32(sf_dir.encode()):08x}"
+    root = store.new_run(inputs)
     csv_events.store_raw(spark, events_from_order_lines(spark, sf_dir), root)
     star_plans.run_build(spark, root)
     store.commit(spark, root)
+    store.prune(spark, inputs)
     return Built(root, csv_events.raw_events(spark, root), star_plans.read_star(spark, root))
 
 
@@ -90,6 +94,8 @@ def _raw_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = source.withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS z"))
     text.write.option("header", True).csv(f"{run}/events")
     csv_events.load_events(spark, f"{run}/events", run)
+    store.commit(spark, run)
+    store.prune(spark, f"{work_dir(spark)}/csv")
     return comparable(csv_events.raw_events(spark, run))
 
 
@@ -104,10 +110,7 @@ def _published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for name in marts.PUBLISHED
     ]
-    first, *others = counts
-    for other in others:
-        first = first.unionAll(other)
-    return first
+    return reduce(DataFrame.unionAll, counts)
 
 
 def _published_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +129,28 @@ def _published_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _published_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of the ten published results, read back from their CSV files."""
+    tables = built(spark, sf_dir)
+    marts.publish_all(spark, tables.star, tables.root)
+    parts = [
+        marts.cells(name, marts.read_published(spark, name, tables.root)) for name in marts.PUBLISHED
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _published_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by category where only published results are left: read back with its types."""
+    tables = built(spark, sf_dir)
+    root = store.new_run(f"{work_dir(spark)}/fallback")
+    run = store.new_run(f"{root}/marts")
+    marts.publish("arpu_by_category", marts.PUBLISHED["arpu_by_category"](tables.star), run)
+    store.commit(spark, run)
+    store.commit(spark, root)
+    store.prune(spark, f"{work_dir(spark)}/fallback")
+    return comparable(marts.compute_or_published(spark, "arpu_by_category", root))
+
+
 def _raw_count(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count("*").alias("row_count"))
 
@@ -186,4 +211,6 @@ QUERIES: dict[str, Query] = {
     "raw_events_through_csv": _raw_through_csv,
     "published_row_counts": _published_rows,
     "published_funnel": _published_funnel,
+    "published_cells": _published_cells,
+    "published_fallback": _published_fallback,
 }

@@ -1,9 +1,16 @@
 """NTILE over a whole table without moving the table into one partition."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwright.sources.store import stored_once
+#: A bucket spans about a thousandth of its values.
+_FINENESS = 1024
+
+
+def _bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises: at most some 90,000 for 64-bit values."""
+    number = value.cast("double")
+    return (F.signum(number) * F.floor(F.log1p(F.abs(number)) * _FINENESS)).cast("int")
 
 
 def ntile_of_values(rows: DataFrame, value: str, tiles: int) -> DataFrame:
@@ -11,35 +18,31 @@ def ntile_of_values(rows: DataFrame, value: str, tiles: int) -> DataFrame:
 
     Returns (value, tile, rows). Equal values are interchangeable within a ranking, so the input
     is first counted per distinct value: a value shared by a third of all rows is one row from
-    then on. Ranks are the offset of the range partition plus a running count inside it. Range
-    bounds come from sampling and may differ when recomputed, hence the stored table.
+    then on. Ranks are the offset of the value's bucket plus a running count inside it. Buckets
+    follow from the values alone, so nothing is sampled or stored.
     """
     counted = rows.groupBy(value).agg(F.count("*").alias("n"))
-    ranged = stored_once(
-        counted.repartitionByRange(F.col(value).desc()).withColumn("part", F.spark_partition_id())
-    )
-
-    # One row per range partition, so this window and broadcast are bounded by their number.
-    earlier_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = counted.withColumn("bucket", _bucket(F.col(value)))
+    # One row per bucket, so this window is bounded by their number.
+    higher_buckets = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("part")
-        .agg(F.sum("n").alias("in_part"))
+        bucketed.groupBy("bucket")
+        .agg(F.sum("n").alias("in_bucket"))
         .select(
-            "part",
-            F.coalesce(F.sum("in_part").over(earlier_parts), F.lit(0)).alias("offset"),
-            F.sum("in_part").over(Window.partitionBy()).alias("total"),
+            "bucket",
+            F.coalesce(F.sum("in_bucket").over(higher_buckets), F.lit(0)).alias("offset"),
+            F.sum("in_bucket").over(Window.partitionBy()).alias("total"),
         )
     )
-
-    earlier_values = (
-        Window.partitionBy("part")
+    higher_values = (
+        Window.partitionBy("bucket")
         .orderBy(F.col(value).desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = (
-        ranged.withColumn("in_part_before", F.coalesce(F.sum("n").over(earlier_values), F.lit(0)))
-        .join(F.broadcast(offsets), "part")
-        .withColumn("start", F.col("offset") + F.col("in_part_before"))
+        bucketed.withColumn("before", F.coalesce(F.sum("n").over(higher_values), F.lit(0)))
+        .join(offsets, "bucket")
+        .withColumn("start", F.col("offset") + F.col("before"))
         .withColumn("stop", F.col("start") + F.col("n"))
         .withColumn("size", F.call_function("div", F.col("total"), F.lit(tiles)))
         .withColumn("larger", F.col("total") % tiles)

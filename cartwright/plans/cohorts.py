@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from cartwright import fixed_values as V
 from cartwright.functions.exact import pct
-from cartwright.plans.activity import active_days
 from cartwright.plans.star import Star
 
 
@@ -21,7 +20,7 @@ def cohorts(star: Star) -> DataFrame:
     buyers = star.users.where(F.col("first_purchase").isNotNull()).select(
         "user_id", "cohort_week", F.to_date("first_seen").alias("first_day")
     )
-    purchase_days = active_days(star.purchases).select("user_id", "day")
+    purchase_days = star.user_days.where("bought").select("user_id", "day")
     first_return = (
         buyers.join(purchase_days, "user_id")
         .where(F.col("day") > F.col("first_day"))

@@ -29,16 +29,25 @@ def _stage_users(events: DataFrame, *slices: Column) -> DataFrame:
     One row of flags per slice and user replaces three distinct counts. The flags are maxima, so
     map tasks reduce a busy user or a popular slice before anything is shuffled.
     """
+    return _reached(events, {stage: E.is_type(kind) for stage, kind in _STAGES.items()}, *slices)
+
+
+def _stage_users_by_day(star: Star, *slices: Column) -> DataFrame:
+    """The same for slices of days, from each user's days."""
+    flags = {"viewers": F.col("viewed"), "cart_adders": F.col("carted"), "purchasers": F.col("bought")}
+    return _reached(star.user_days, flags, *slices)
+
+
+def _reached(rows: DataFrame, flags: dict[str, Column], *slices: Column) -> DataFrame:
     slices = [s.alias(f"slice_{i}") for i, s in enumerate(slices)]
-    flags = [F.max(E.is_type(kind)).alias(stage) for stage, kind in _STAGES.items()]
-    per_user = events.groupBy(*slices, "user_id").agg(*flags)
+    per_user = rows.groupBy(*slices, "user_id").agg(*[F.max(f).alias(s) for s, f in flags.items()])
     return per_user.groupBy(*[f"slice_{i}" for i in range(len(slices))]).agg(
         *[F.count_if(F.col(stage)).alias(stage) for stage in _STAGES]
     )
 
 
 def funnel_overall(star: Star) -> DataFrame:
-    return _stage_users(star.events).select(
+    return _stage_users_by_day(star).select(
         *_STAGES,
         *_step_rates(),
         _view_to_purchase("overall_conversion_pct"),
@@ -69,7 +78,7 @@ def funnel_by_brand(star: Star, min_viewers: int = 500) -> DataFrame:
 def funnel_by_dow(star: Star) -> DataFrame:
     """Per weekday of the event, 0 = Sunday."""
     return (
-        _stage_users(star.events, E.weekday(F.col("event_time")))
+        _stage_users_by_day(star, E.weekday(F.col("day")))
         .select(
             F.col("slice_0").alias("day_of_week"),
             *_STAGES,

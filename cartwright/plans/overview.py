@@ -3,18 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwright import fixed_values as V
-from cartwright.functions import events as E
 from cartwright.functions.exact import money
 from cartwright.plans.star import Star
 
 
 def overview(star: Star) -> DataFrame:
     """One row of totals; one row per user first, then three plain counts side by side."""
-    per_user = star.events.groupBy("user_id").agg(
-        F.count("*").alias("events"),
-        F.max(E.is_type(V.PURCHASE)).alias("bought"),
-        F.sum(F.when(E.is_paid_purchase(), F.col("price"))).alias("spend"),
+    per_user = star.user_days.groupBy("user_id").agg(
+        F.sum("events").alias("events"), F.max("bought").alias("bought"), F.sum("spend").alias("spend")
     )
     products = star.events.select("product_id").distinct().agg(F.count("*"))
     sessions = star.sessions.agg(F.count("*"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from cartwright import fixed_values as V
 from cartwright.functions.exact import pct
-from cartwright.plans.activity import active_days
 from cartwright.plans.star import Star
 
 
@@ -20,7 +19,9 @@ def repeat_rates(star: Star) -> DataFrame:
     first bought products of two bands at one moment counts in both. Whether a later purchase
     exists is read off the user's last one, so purchases are never joined to each other.
     """
-    last_purchase = star.purchases.groupBy("user_id").agg(F.max("event_time").alias("last_purchase"))
+    last_purchase = (
+        star.user_days.where("bought").groupBy("user_id").agg(F.max("last_purchase_at").alias("last_purchase"))
+    )
     buyers = _buyers(star).join(last_purchase, "user_id")
 
     first_items = star.purchases.where(F.col("price") > 0).select(
@@ -49,10 +50,9 @@ def buyer_activity(star: Star) -> DataFrame:
     The gap is taken to the very next event first and tested against the window second: a buyer
     with another event on the day of purchase has gap 0 and is active in no window.
     """
-    days = active_days(star.events)
     next_day = (
         _buyers(star)
-        .join(days, "user_id")
+        .join(star.user_days.select("user_id", "day", "last_at"), "user_id")
         .where(F.col("last_at") > F.col("first_purchase"))
         .groupBy("user_id")
         .agg(F.min(F.datediff("day", F.to_date("first_purchase"))).alias("gap"))

@@ -80,7 +80,9 @@ def arpu_aov_by_band(star: Star) -> DataFrame:
 def quintiles(star: Star, tiles: int = 5) -> DataFrame:
     """Buyers split into equal groups by spend, highest first, with each group's revenue."""
     spend = (
-        _paid(star).groupBy("user_id").agg(F.sum("price").alias("total_spend"))
+        star.user_days.where(F.col("spend").isNotNull())
+        .groupBy("user_id")
+        .agg(F.sum("spend").alias("total_spend"))
     )
     per_tile = (
         ntile_of_values(spend, "total_spend", tiles)

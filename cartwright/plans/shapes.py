@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from cartwright import fixed_values as V
 from cartwright.functions.exact import pct
 from cartwright.functions.labels import label, position
-from cartwright.sources.store import stored_once
 
 
 def funnel_long(overall: DataFrame) -> DataFrame:
@@ -58,20 +57,26 @@ def cohort_heatmap_long(cohorts: DataFrame) -> DataFrame:
     )
 
 
-def cohort_heatmap(cohorts: DataFrame) -> DataFrame:
-    """Windows as rows, cohort weeks as columns.
-
-    A pivot first asks for the weeks and then for the rates; the small long form is stored
-    between the two, so that the cohorts are computed once.
-    """
+def _by_window(cohorts: DataFrame) -> DataFrame:
+    """The long form with each window's place."""
     order = {name: days for days, name in V.WINDOW_LABELS.items()}
-    return (
-        stored_once(cohort_heatmap_long(cohorts))
-        .groupBy("window")
-        .pivot("cohort_week")
-        .agg(F.first("rate_pct"))
-        .orderBy(position(F.col("window"), order))
+    return cohort_heatmap_long(cohorts).withColumn("place", position(F.col("window"), order))
+
+
+def cohort_heatmap(cohorts: DataFrame) -> DataFrame:
+    """One row per window; its cells, ``week=rate`` by week, as one text."""
+    cells = F.transform(
+        F.array_sort(F.collect_list(F.struct("cohort_week", "rate_pct"))),
+        lambda cell: F.concat(cell["cohort_week"], F.lit("="), cell["rate_pct"].cast("string")),
     )
+    rows = _by_window(cohorts).groupBy("place", "window").agg(F.array_join(cells, ",").alias("cells"))
+    return rows.orderBy("place").select("window", "cells")
+
+
+def cohort_heatmap_wide(cohorts: DataFrame, weeks: list[str]) -> DataFrame:
+    """Windows as rows, the given cohort weeks as columns."""
+    wide = _by_window(cohorts).groupBy("place", "window").pivot("cohort_week", weeks)
+    return wide.agg(F.first("rate_pct")).orderBy("place").drop("place")
 
 
 def cohort_table(cohorts: DataFrame) -> DataFrame:

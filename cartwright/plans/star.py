@@ -1,6 +1,7 @@
 """The star schema: users, products, sessions and deduplicated events."""
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from cartwright import fixed_values as V
 from cartwright import schemas
 from cartwright.functions import events as E
 from cartwright.operators.first_row import first_row_per_key
+from cartwright.plans.activity import user_days
 from cartwright.sources import store
 from cartwright.sources.csv_events import raw_events
 
@@ -37,6 +39,11 @@ class Star:
     def events(self) -> DataFrame:
         return self._table("fct_events")
 
+    @cached_property
+    def user_days(self) -> DataFrame:
+        """What each user did on each day."""
+        return self._table("user_days")
+
     @cached_property
     def purchases(self) -> DataFrame:
         """The purchase rows of fct_events."""
@@ -49,6 +56,7 @@ TABLES = {
     "fct_sessions": schemas.FCT_SESSIONS,
     "fct_events": schemas.FCT_EVENTS,
 }
+_STORED = TABLES | {"user_days": schemas.USER_DAYS}
 # Purchases are a few percent of events; a folder of their own lets purchase queries skip the
 # rest. Types are free text, so all but the three known ones share a folder.
 _FOLDER = T.StructField("type_folder", T.StringType())
@@ -65,19 +73,21 @@ def dim_users(raw: DataFrame) -> DataFrame:
     )
 
 
-def dim_products(raw: DataFrame) -> DataFrame:
-    """Products described by their latest event with a positive price.
+def product_descriptions(raw: DataFrame) -> DataFrame:
+    """Each distinct description of a product with its latest time.
 
-    A product shows few distinct descriptions, so the latest time of each is aggregated first;
-    picking the newest description then works on a small table whatever the product's volume.
+    A product shows few of them, so what is picked from this table works on few rows whatever the
+    product's volume.
     """
-    described = (
-        raw.where(F.col("price") > 0)
-        .groupBy("product_id", "price", "brand", "category_code")
-        .agg(F.max("event_time").alias("event_time"))
+    return raw.groupBy("product_id", "price", "brand", "category_code").agg(
+        F.max("event_time").alias("event_time")
     )
+
+
+def dim_products(described: DataFrame) -> DataFrame:
+    """Products as described by their latest event with a positive price."""
     latest = first_row_per_key(
-        described,
+        described.where(F.col("price") > 0),
         [F.col("product_id")],
         [
             F.desc("event_time"),
@@ -94,10 +104,10 @@ def dim_products(raw: DataFrame) -> DataFrame:
     )
 
 
-def unpriced_products(raw: DataFrame) -> DataFrame:
+def unpriced_products(described: DataFrame) -> DataFrame:
     """Products that never had a positive price: exactly those absent from dim_products."""
     return (
-        raw.groupBy("product_id")
+        described.groupBy("product_id")
         .agg(F.max("price").alias("top_price"))
         .where(F.col("top_price") <= 0)
         .select("product_id")
@@ -147,35 +157,53 @@ def fct_events(raw: DataFrame, unpriced: DataFrame) -> DataFrame:
 
 
 def build_star(raw: DataFrame) -> Star:
-    """The four tables as plans over raw, nothing stored."""
+    """The tables as plans over raw, nothing stored."""
     plans = {
         "dim_users": lambda: dim_users(raw),
-        "dim_products": lambda: dim_products(raw),
+        "dim_products": lambda: dim_products(product_descriptions(raw)),
         "fct_sessions": lambda: fct_sessions(raw),
-        "fct_events": lambda: fct_events(raw, unpriced_products(raw)),
+        "fct_events": lambda: fct_events(raw, unpriced_products(product_descriptions(raw))),
+        "user_days": lambda: user_days(plans["fct_events"]()),
         "purchases": lambda: plans["fct_events"]().where(E.is_type(V.PURCHASE)),
     }
     return Star(lambda name: plans[name]())
 
 
-def run_build(spark: SparkSession, root: str) -> DataFrame:
-    """Rebuild and store the star below root from the stored raw table; rows per table."""
+def run_build(spark: SparkSession, root: str, at_once: int = 4) -> DataFrame:
+    """Rebuild and store the star below root from the stored raw table; rows per table.
+
+    Tables that don't need each other are written at the same time.
+    """
     raw = raw_events(spark, root)
     if raw.isEmpty():
         raise ValueError("raw_events is empty; load a CSV first")
     run = store.new_run(f"{root}/star")
 
-    # Stored first, so that its real size decides how fct_events joins it.
-    store.write_table(unpriced_products(raw), f"{run}/unpriced_products")
-    unpriced = spark.read.schema("product_id bigint").parquet(f"{run}/unpriced_products")
-    store.write_table(dim_users(raw), f"{run}/dim_users")
-    store.write_table(dim_products(raw), f"{run}/dim_products")
-    store.write_table(fct_sessions(raw), f"{run}/fct_sessions")
-    known = F.col("event_type").isin(V.VIEW, V.CART, V.PURCHASE)
-    folder = F.when(known, F.col("event_type")).otherwise(_OTHER_TYPES)
-    events = fct_events(raw, unpriced).withColumn(_FOLDER.name, folder)
-    store.write_table(events, f"{run}/fct_events", (_FOLDER.name,))
+
+    def write_events() -> None:
+        # Both lists are stored first, so that the real size decides how fct_events joins it.
+        store.write_table(product_descriptions(raw), f"{run}/product_descriptions")
+        described = spark.read.parquet(f"{run}/product_descriptions")
+        store.write_table(unpriced_products(described), f"{run}/unpriced_products")
+        store.write_table(dim_products(described), f"{run}/dim_products")
+        unpriced = spark.read.schema("product_id bigint").parquet(f"{run}/unpriced_products")
+        known = F.col("event_type").isin(V.VIEW, V.CART, V.PURCHASE)
+        folder = F.when(known, F.col("event_type")).otherwise(_OTHER_TYPES)
+        events = fct_events(raw, unpriced).withColumn(_FOLDER.name, folder)
+        store.write_table(events, f"{run}/fct_events", (_FOLDER.name,))
+        stored = store.read_table(spark, f"{run}/fct_events", schemas.FCT_EVENTS)
+        store.write_table(user_days(stored), f"{run}/user_days")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [
+            pool.submit(write_events),
+            pool.submit(lambda: store.write_table(dim_users(raw), f"{run}/dim_users")),
+            pool.submit(lambda: store.write_table(fct_sessions(raw), f"{run}/fct_sessions")),
+        ]
+        for job in jobs:
+            job.result()
     store.commit(spark, run)
+    store.prune(spark, f"{root}/star")
     return row_counts(read_star(spark, root))
 
 
@@ -185,7 +213,7 @@ def read_star(spark: SparkSession, root: str) -> Star:
 
     def open_table(name: str) -> DataFrame:
         if name != "purchases":
-            return store.read_table(spark, f"{run}/{name}", TABLES[name])
+            return store.read_table(spark, f"{run}/{name}", _STORED[name])
         with_folder = T.StructType([*schemas.FCT_EVENTS, _FOLDER])
         events = store.read_table(spark, f"{run}/fct_events", with_folder)
         return events.where(F.col(_FOLDER.name) == V.PURCHASE).drop(_FOLDER.name)

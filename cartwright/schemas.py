@@ -49,6 +49,20 @@ FCT_SESSIONS = T.StructType(
     ]
 )
 
+USER_DAYS = T.StructType(
+    [
+        T.StructField("user_id", T.LongType(), False),
+        T.StructField("day", T.DateType(), False),
+        T.StructField("viewed", T.BooleanType(), False),
+        T.StructField("carted", T.BooleanType(), False),
+        T.StructField("bought", T.BooleanType(), False),
+        T.StructField("events", T.LongType(), False),
+        T.StructField("spend", T.DecimalType(28, 4), True),
+        T.StructField("last_at", T.TimestampType(), False),
+        T.StructField("last_purchase_at", T.TimestampType(), True),
+    ]
+)
+
 FCT_EVENTS = T.StructType(
     [
         T.StructField(f.name, f.dataType, f.nullable and f.name != "user_session")

@@ -1,7 +1,5 @@
 """Session settings the results depend on, and the shared working folder."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -44,15 +42,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """This application's folder below the shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without that setting
-    gets a temporary folder of its own; a cluster must name one that all executors share.
+    The folder comes from ``spark.checkpoint.dir``, or else from ``setCheckpointDir``. On a cluster
+    it has to be one that all executors share.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="cartwright-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{context.applicationId}"

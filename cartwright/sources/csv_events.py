@@ -26,9 +26,7 @@ def read_event_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
         spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     )
     header = reader.csv(path).columns
-    missing = [name for name in V.RAW_COLUMNS if name not in header]
-    if missing:
-        raise ValueError(f"CSV is missing columns: {', '.join(missing)}")
+    _require_columns(header)
 
     text = (
         reader.option("enforceSchema", False)
@@ -42,11 +40,18 @@ def read_event_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     checked = text.where(
         F.col(_MALFORMED).isNull()
         | surplus.isNull()
-        | F.raise_error(F.concat(F.lit("too many fields: "), F.col(_MALFORMED))).cast("boolean")
+        | F.raise_error(F.concat(F.lit("too many fields (line breaks in quotes need multi_line): "), F.col(_MALFORMED))).cast("boolean")
     )
     return checked.select([_typed(field) for field in RAW_EVENTS])
 
 
+def _require_columns(header: list[str]) -> None:
+    """All nine raw columns stand in the header."""
+    absent = sorted(set(V.RAW_COLUMNS).difference(header), key=V.RAW_COLUMNS.index)
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in the CSV; its header has {', '.join(header)}")
+
+
 def _all_text(names: list[str]) -> str:
     quoted = [name.replace("`", "``") for name in names]
     return ", ".join(f"`{name}` string" for name in quoted)
@@ -75,6 +80,7 @@ def store_raw(spark: SparkSession, events: DataFrame, root: str) -> int:
     run = store.new_run(f"{root}/raw")
     store.write_table(events.select(*V.RAW_COLUMNS), f"{run}/{RAW_TABLE}")
     store.commit(spark, run)
+    store.prune(spark, f"{root}/raw")
     return raw_events(spark, root).count()
 
 

@@ -1,51 +1,72 @@
 """Whole-table refresh: write a new run folder, then commit it.
 
-Readers always see the newest committed run, so a failed or half-finished refresh stays invisible
-and a table can be rebuilt from its own previous version.
+Commits are numbered, and readers see the run of the highest number. A failed or half-finished refresh
+stays invisible, a table can be rebuilt from its own previous version, and of overlapping refreshes
+the one that commits last counts, whatever the clocks say.
 """
 
+import time
 import uuid
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cartwright.session import work_dir
+from cartwright.sources.files import Files
 
-_COMMIT_MARK = "_COMMITTED"
+_COMMITS = "_commits"
 
 
 class NothingStored(LookupError):
     """No committed run exists below the folder."""
 
 
-def _filesystem(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+def new_run(root: str) -> str:
+    """A fresh run folder."""
+    return f"{root}/run-{uuid.uuid4().hex}"
 
 
-def new_run(root: str) -> str:
-    """A fresh run folder; its name sorts by start time."""
-    started = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    return f"{root}/run-{started}-{uuid.uuid4().hex[:8]}"
+def _numbers(files: Files, root: str) -> list[str]:
+    return files.names(f"{root}/{_COMMITS}/*")
 
 
 def commit(spark: SparkSession, run: str) -> None:
-    fs, mark = _filesystem(spark, f"{run}/{_COMMIT_MARK}")
-    fs.create(mark, False).close()
+    """Make a run the newest of its root: take the next free number."""
+    files = Files(spark)
+    root, _, name = run.rpartition("/")
+    taken = _numbers(files, root)
+    number = int(taken[-1]) + 1 if taken else 1
+    while not files.create_new(f"{root}/{_COMMITS}/{number:012d}", name):
+        number += 1
 
 
 def latest_run(spark: SparkSession, root: str) -> str:
-    fs, marks = _filesystem(spark, f"{root}/run-*/{_COMMIT_MARK}")
-    committed = fs.globStatus(marks) or []
-    if not len(committed):
+    files = Files(spark)
+    taken = _numbers(files, root)
+    if not taken:
         raise NothingStored(f"no committed run below {root}")
-    return max(str(mark.getPath().getParent().toString()) for mark in committed)
+    return f"{root}/{files.read(f'{root}/{_COMMITS}/{taken[-1]}')}"
 
 
 def is_committed(spark: SparkSession, run: str) -> bool:
-    fs, mark = _filesystem(spark, f"{run}/{_COMMIT_MARK}")
-    return fs.exists(mark)
+    files = Files(spark)
+    root, _, name = run.rpartition("/")
+    return any(files.read(f"{root}/{_COMMITS}/{n}") == name for n in _numbers(files, root)) and files.exists(run)
+
+
+def prune(spark: SparkSession, root: str, keep: int = 2, abandoned_hours: float = 24) -> None:
+    """Remove all but the last ``keep`` committed runs, and runs never committed that were begun
+    long ago. Two runs let readers of the previous one finish."""
+    files = Files(spark)
+    taken = _numbers(files, root)
+    kept = {files.read(f"{root}/{_COMMITS}/{n}") for n in taken[-keep:]}
+    old = {files.read(f"{root}/{_COMMITS}/{n}") for n in taken[:-keep]}
+    before = (time.time() - abandoned_hours * 3600) * 1000
+    for name in files.names(f"{root}/run-*"):
+        path = f"{root}/{name}"
+        if name in old or name not in kept and files.changed(path) <= before:
+            files.delete(path)
+    for number in taken[:-keep]:
+        files.delete(f"{root}/{_COMMITS}/{number}")
 
 
 def write_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -57,17 +78,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path).select(schema.names)
 
 
-def stored_once(rows: DataFrame) -> DataFrame:
-    """The rows written to the shared working folder and read back, so they never change."""
-    spark = rows.sparkSession
-    path = new_run(f"{work_dir(spark)}/cut")
-    write_table(rows, path)
-    return read_table(spark, path, rows.schema)
-
-
 def content_version(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Files, bytes and last change of a file or folder, without reading it."""
-    fs, hadoop_path = _filesystem(spark, path)
-    content = fs.getContentSummary(hadoop_path)
-    changed = fs.getFileStatus(hadoop_path).getModificationTime()
-    return content.getFileCount(), content.getLength(), changed
+    files = Files(spark)
+    return (*files.size(path), files.changed(path))

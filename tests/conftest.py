@@ -10,7 +10,14 @@ from cartwright.session import local_session, prepare, work_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = prepare(local_session("*", "tests", spark__sql__shuffle__partitions="4"))
+def spark(tmp_path_factory):
+    session = prepare(
+        local_session(
+            "*",
+            "tests",
+            spark__sql__shuffle__partitions="4",
+            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        )
+    )
     work_dir(session)
     return session

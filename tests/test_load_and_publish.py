@@ -98,8 +98,8 @@ def test_load_replaces_and_build_and_publish_follow(spark, tmp_path):
         live = plan(star)
         published = marts.read_published(spark, name, root)
         assert published.columns == live.columns
-        as_text = [tuple(None if v is None else str(v) for v in r) for r in live.collect()]
-        assert [tuple(r) for r in published.collect()] == as_text, name
+        assert published.dtypes == marts.typed(name, live).dtypes, name
+        assert published.collect() == marts.typed(name, live).collect(), name
 
 
 def test_published_result_stands_in_for_a_missing_star(spark, tmp_path):
@@ -107,13 +107,15 @@ def test_published_result_stands_in_for_a_missing_star(spark, tmp_path):
     with pytest.raises(store.NothingStored):
         marts.compute_or_published(spark, "overview", root)
     run = store.new_run(f"{root}/marts")
-    marts.publish("overview", spark.sql("select 5 as total_users"), run)
+    marts.publish("overview", spark.sql("select 5 total_users, 1 buyers, 2.50 total_revenue, 9 e, 1 s, 2 p"), run)
     store.commit(spark, run)
-    assert rows(marts.compute_or_published(spark, "overview", root)) == [("5",)]
+    published = marts.compute_or_published(spark, "overview", root)
+    assert rows(published) == [(5, 1, Decimal("2.50"), 9, 1, 2)]
 
     csv_events.store_raw(spark, raw_table(spark, event("2020-10-05 10:00:00")), root)
     run_build(spark, root)
-    assert marts.compute_or_published(spark, "overview", root).first().total_users == 1
+    live = marts.compute_or_published(spark, "overview", root)
+    assert live.first().total_users == 1 and live.dtypes == published.dtypes
 
 
 def test_build_needs_events(spark, tmp_path):
@@ -131,6 +133,36 @@ def test_uncommitted_run_is_invisible(spark, tmp_path):
     assert csv_events.raw_events(spark, root).count() == 1
 
 
+def test_overlapping_refreshes_count_by_commit(spark, tmp_path):
+    root = str(tmp_path / "root")
+    first, second = store.new_run(root), store.new_run(root)
+    for run in (first, second):
+        spark.range(1).write.parquet(f"{run}/t")
+    store.commit(spark, second)
+    assert store.latest_run(spark, root) == second
+    store.commit(spark, first)
+    assert store.latest_run(spark, root) == first
+    assert store.is_committed(spark, first) and not store.is_committed(spark, store.new_run(root))
+
+
+def test_pruning_keeps_the_last_runs_and_those_under_way(spark, tmp_path):
+    root = str(tmp_path / "root")
+    runs = [store.new_run(root) for _ in range(5)]
+    for run in runs:
+        spark.range(3).write.parquet(f"{run}/t")
+    for run in runs[:3]:
+        store.commit(spark, run)
+    held = spark.read.parquet(f"{runs[1]}/t")
+    store.prune(spark, root)
+    assert held.count() == 3 and store.latest_run(spark, root) == runs[2]
+    left = {p.name for p in (tmp_path / "root").glob("run-*")}
+    assert left == {run.rpartition("/")[2] for run in runs[1:]}
+    store.prune(spark, root, keep=1, abandoned_hours=0)
+    assert {p.name for p in (tmp_path / "root").glob("run-*")} == {runs[2].rpartition("/")[2]}
+    store.commit(spark, runs[2])
+    assert store.latest_run(spark, root) == runs[2]
+
+
 def test_changed_inputs_are_built_again(spark, tmp_path):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     folder = str(tmp_path)

@@ -35,7 +35,7 @@ def test_sizes_and_sums(spark, n, tiles):
     assert sum(r[1] for r in rows(got)) == n
 
 
-def test_many_range_partitions(spark):
+def test_many_buckets(spark):
     rng = random.Random(5)
     values = [rng.randrange(3000) for _ in range(20_000)]
     frame = spark.createDataFrame([(v,) for v in values], "v bigint")
@@ -44,5 +44,10 @@ def test_many_range_partitions(spark):
         tiled = ntile_of_values(frame, "v", 7)
         sums = tiled.selectExpr("tile", "rows", "rows * v as total").groupBy("tile").sum("rows", "total")
         assert rows(sums) == tile_sums(values, 7)
+        wide = [rng.choice([-1, 1]) * rng.randrange(10**12) for _ in range(3000)]
+        frame = spark.createDataFrame([(v,) for v in wide], "v bigint")
+        tiled = ntile_of_values(frame, "v", 7)
+        sums = tiled.selectExpr("tile", "rows", "rows * v as total").groupBy("tile").sum("rows", "total")
+        assert rows(sums) == tile_sums(wide, 7)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

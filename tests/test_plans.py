@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cartwright.catalog import built
-from cartwright.plans import cohorts, funnel, overview, quality, retention, revenue
-from cartwright.plans.star import fct_events, unpriced_products
+from cartwright.catalog import QUERIES, STAR_PLANS, built
+from cartwright.plans import cohorts, funnel, marts, overview, quality, retention, revenue
+from cartwright.plans.star import fct_events, product_descriptions, unpriced_products
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -22,22 +22,21 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_python_and_no_cross_joins(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     for unwanted in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert unwanted not in plan
 
 
 def test_dedup_limits_rows_before_the_exchange(tables):
-    plan = plan_of(fct_events(tables.raw, unpriced_products(tables.raw)))
+    plan = plan_of(fct_events(tables.raw, unpriced_products(product_descriptions(tables.raw))))
     assert plan.count("WindowGroupLimit") == 2
     assert plan.index("Exchange hashpartitioning(user_id") < plan.rindex("WindowGroupLimit")
 
 
 @pytest.mark.parametrize(
-    "query", [cohorts.cohorts, retention.repeat_rates, revenue.arpu_by_price_band,
-              revenue.aov_by_price_band]
+    "query", [retention.repeat_rates, revenue.arpu_by_price_band, revenue.aov_by_price_band]
 )
 def test_purchase_queries_read_the_purchase_folder_only(tables, query):
     scans = [line for line in plan_of(query(tables.star)).splitlines() if "FileScan" in line]
@@ -55,10 +54,34 @@ def test_price_filter_is_pushed_and_columns_are_pruned(tables):
 def test_ntile_never_windows_over_users(tables):
     plan = plan_of(revenue.quintiles(tables.star))
     assert "ntile(" not in plan
-    # The single partitions left hold one row per range partition and one per quintile.
+    # The single partitions left hold one row per bucket of values and one per quintile.
     for after in plan.split("Exchange SinglePartition")[1:]:
         aggregate = after[after.index("HashAggregate") :]
-        assert aggregate.startswith(("HashAggregate(keys=[part", "HashAggregate(keys=[tile"))
+        assert aggregate.startswith(("HashAggregate(keys=[bucket", "HashAggregate(keys=[tile"))
+
+
+@pytest.mark.parametrize(
+    "query", [funnel.funnel_overall, funnel.funnel_by_dow, cohorts.cohorts, retention.buyer_activity,
+              revenue.quintiles]
+)
+def test_user_results_read_the_rollup_only(tables, query):
+    scans = [line for line in plan_of(query(tables.star)).splitlines() if "FileScan" in line]
+    assert scans and not any("fct_events" in line for line in scans)
+
+
+def test_published_results_scan_events_rarely(tables):
+    plans = [plan_of(plan(tables.star)) for plan in marts.PUBLISHED.values()]
+    scans = [line for plan in plans for line in plan.splitlines() if "FileScan" in line]
+    assert sum("fct_events" in line for line in scans) <= 6
+
+
+def test_planning_runs_no_job(spark, tables):
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    for plan in STAR_PLANS.values():
+        plan(tables.star)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs.getJobIdsForGroup("planning")) == []
 
 
 def test_funnel_shuffles_users_once(tables):

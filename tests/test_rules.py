@@ -7,7 +7,7 @@ import pytest
 from micro import at, event, raw_table, rows
 
 from cartwright.plans import cohorts, funnel, overview, quality, retention, revenue, shapes
-from cartwright.plans.star import build_star, dim_products, dim_users, fct_sessions
+from cartwright.plans.star import build_star, dim_products, product_descriptions, dim_users, fct_sessions
 
 
 def micros(frame, column="event_time"):
@@ -89,7 +89,7 @@ def test_latest_positive_price_sets_the_band(spark):
         event("2020-10-05 11:00:00", price="60"),
         event("2020-10-05 12:00:00", price="0"),
     )
-    assert rows(dim_products(raw), "price_band") == [("50_to_200",)]
+    assert rows(dim_products(product_descriptions(raw)), "price_band") == [("50_to_200",)]
 
 
 def test_band_edges(spark):
@@ -98,7 +98,7 @@ def test_band_edges(spark):
         spark,
         *[event("2020-10-05 10:00:00", product=i, price=p) for i, p in enumerate(prices)],
     )
-    assert [band for _, band in rows(dim_products(raw), "product_id", "price_band")] == [
+    assert [band for _, band in rows(dim_products(product_descriptions(raw)), "product_id", "price_band")] == [
         "under_50", "50_to_200", "50_to_200", "200_to_500", "200_to_500", "over_500",
     ]
 
@@ -109,7 +109,7 @@ def test_latest_row_without_brand_gives_no_brand(spark):
         event("2020-10-05 10:00:00", brand="acme"),
         event("2020-10-05 11:00:00", brand=None, code=None),
     )
-    assert rows(dim_products(raw), "brand", "category") == [(None, None)]
+    assert rows(dim_products(product_descriptions(raw)), "brand", "category") == [(None, None)]
 
 
 def test_latest_row_ties(spark):
@@ -121,7 +121,7 @@ def test_latest_row_ties(spark):
         event(same, price="300", brand="b", code=None),
         event(same, price="300", brand="b", code="home.lamp"),
     )
-    assert rows(dim_products(raw), "brand", "category", "price_band") == [
+    assert rows(dim_products(product_descriptions(raw)), "brand", "category", "price_band") == [
         ("b", "home", "200_to_500")
     ]
 
@@ -134,7 +134,7 @@ def test_category_is_the_first_part(spark):
             for i, c in enumerate(["a.b.c", "", None, "plain", ".b"])
         ],
     )
-    got = [category for _, category in rows(dim_products(raw), "product_id", "category")]
+    got = [category for _, category in rows(dim_products(product_descriptions(raw)), "product_id", "category")]
     assert got == ["a", None, None, "plain", None]
 
 
@@ -322,7 +322,13 @@ def test_heatmap_matrix(spark):
         event("2020-10-15 10:00:00", kind="purchase", session="s2"),
         event("2020-10-12 10:00:00", user=2),
     )
-    matrix = shapes.cohort_heatmap(cohorts.cohorts(star))
+    table = cohorts.cohorts(star)
+    assert [tuple(r) for r in shapes.cohort_heatmap(table).collect()] == [
+        ("7-Day", "2020-10-05=0.00,2020-10-12=0.00"),
+        ("30-Day", "2020-10-05=100.00,2020-10-12=0.00"),
+        ("60-Day", "2020-10-05=100.00,2020-10-12=0.00"),
+    ]
+    matrix = shapes.cohort_heatmap_wide(table, ["2020-10-05", "2020-10-12"])
     assert matrix.columns == ["window", "2020-10-05", "2020-10-12"]
     assert [tuple(r) for r in matrix.collect()] == [
         ("7-Day", Decimal("0.00"), Decimal("0.00")),
@@ -340,6 +346,13 @@ def test_top_categories_drops_the_unnamed_and_orders_by_arpu(spark):
     assert got == ["b", "a"]
 
 
+def test_top_categories_of_many(spark):
+    named = [(f"c{i:02}", i, float(-i)) for i in range(14)]
+    results = spark.createDataFrame(named, "category string, total_revenue int, arpu double")
+    got = [r.category for r in shapes.top_categories(results).collect()]
+    assert got == [f"c{i:02}" for i in range(13, 3, -1)]
+
+
 def test_constraint_checks_find_planted_faults(spark):
     from cartwright.plans.star import Star
 

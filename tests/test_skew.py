@@ -55,7 +55,7 @@ def hot(spark, tmp_path_factory):
     raw = spark.read.schema(RAW_EVENTS).parquet(f"{folder}/raw")
     plans = build_star(raw)
     tables = {}
-    for name in ("dim_users", "dim_products", "fct_sessions", "fct_events"):
+    for name in ("dim_users", "dim_products", "fct_sessions", "fct_events", "user_days"):
         plan = plans._table(name)
         plan.repartition(4).write.parquet(f"{folder}/{name}")
         tables[name] = spark.read.schema(plan.schema).parquet(f"{folder}/{name}")
