@@ -46,6 +46,10 @@ _EMAIL = re.compile(r"[\w.+-]*\w@[\w-]+(?:\.[\w-]+)+")
 _SECRET = re.compile(r"""(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key)\s*[=:]\s*["']([^"'\s]{6,})["']""")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?!\d)")
+#: How card numbers of the large issuers begin.
+_ISSUER = re.compile(
+    r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|35(?:2[89]|[3-8])|3(?:0[0-5]|[689])|6(?:011|4[4-9]|5)"
+)
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(
@@ -102,7 +106,7 @@ def _candidates(text: str) -> Iterator[Entity]:
                 yield Entity(*m.span(), "iban", plain)
         for m in _CARD.finditer(text):
             number = _digits(m[0])
-            if len(number) >= 13 and luhn_valid(number) and number.strip("0"):
+            if 13 <= len(number) <= 19 and _ISSUER.match(number) and luhn_valid(number):
                 yield Entity(*m.span(), "card", number)
         for m in _IP.finditer(text):
             parts = m[0].split(".")
@@ -157,7 +161,8 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
         rest = int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97
         return f"{canonical[:2]}{98 - rest:02d}{body}"
     if kind == "card":
-        body = canonical[0] + ciphers.reworded(key, name + canonical[0], canonical[1:-1], (ciphers.DIGITS,))
+        issuer = _ISSUER.match(canonical)[0]
+        body = issuer + ciphers.reworded(key, name + issuer, canonical[len(issuer) : -1], (ciphers.DIGITS,))
         return next(body + c for c in ciphers.DIGITS if luhn_valid(body + c))
     if kind == "ip":
         number = 0
