@@ -3,15 +3,16 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.llm.tables import stored
+from cartwright.llm.tables import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of the links (a, b): the smallest node reachable.
 
     Each round takes the smallest label among a node's own and its neighbours', then the label of
     that label. Rows stay as many as nodes and links; a hub's links are reduced before shuffles.
     """
+    stored = (scratch or Scratch(links.sparkSession)).stored
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
         "node", F.least("node", "low").alias("component")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartwright.llm.tables import stored
+from cartwright.llm.tables import Scratch, stored
 
 BLOCK, QUERY_BLOCK = 4096, 256
 #: Rotated components summed before a pair may be dropped.
@@ -101,7 +101,14 @@ def top_k(vectors: DataFrame, every: int = 50, top: int = 5, scale: int = 256) -
     whose vector is null or holds null or non-finite components, take no part; other columns are not
     read; with no query or candidate there are no rows.
     """
-    spark = vectors.sparkSession
+    scratch = Scratch(vectors.sparkSession)
+    result = stored(_top_k(vectors, every, top, scale, scratch))
+    scratch.remove()
+    return result
+
+
+def _top_k(vectors: DataFrame, every: int, top: int, scale: int, scratch: Scratch) -> DataFrame:
+    spark, stored = vectors.sparkSession, scratch.stored
     rows = stored(whole_numbers(vectors, scale))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     schema = "query_id long, vec_id long, score long"

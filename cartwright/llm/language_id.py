@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartwright.llm.tables import stored
+from cartwright.llm.tables import Scratch
 from cartwright.llm.words import mixed
 
 #: n-grams of these lengths; a word has one space on either side.
@@ -136,7 +136,8 @@ def learn(rows: DataFrame) -> Model:
                         times = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
                         yield pd.DataFrame({"lang": lang, "n": n, "gram": grams.view(np.int64), "times": times})
 
-    counted = stored(
+    scratch = Scratch(rows.sparkSession)
+    counted = scratch.stored(
         _sampled(rows)
         .mapInPandas(count, "lang string, n long, gram long, times long")
         .groupBy("lang", "n", "gram")
@@ -147,6 +148,7 @@ def learn(rows: DataFrame) -> Model:
         "lang", "gram", (F.col("times") / F.col("all")).alias("share")
     ).where(F.col("share") >= SHARE)
     frequent = shares.toPandas()  # bounded by SHARE, LENGTHS and LANGUAGES
+    scratch.remove()
     most = frequent.groupby("gram")["share"].transform("max")
     frequent = frequent[frequent["share"] >= RELATIVE * most]
     languages = tuple(sorted(frequent["lang"].unique()))
@@ -180,9 +182,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def decide(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([learned.value.decide(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("decision", decide("text")).withColumns(
-        {"lang_pred": F.col("decision.lang_pred"), "score": F.col("decision.score")}
-    ).drop("decision")
+    return docs.withColumn("_decision", decide("text")).withColumns(
+        {"lang_pred": F.col("_decision.lang_pred"), "score": F.col("_decision.score")}
+    ).drop("_decision")
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ n-grams) with its transpose. It is never formed whole:
    each of its n-grams (``exchange``); where fewer than the similarity's share of its set are held
    elsewhere, no partner can exist. What is left are the copies and near copies.
 2. Equal sets become one row, which stands for all its documents.
-3. Columns are ordered from rare to frequent. Partners share a column within their first
-   ``n - ceil(s * n) + 1`` columns, so only that part of the matrix makes candidate pairs, in
-   rounds: each column pairs its documents with one of them, and documents known to be connected are
-   not paired again; at last each column pairs what is still unconnected.
+3. Columns are ordered from rare to frequent. Whatever two partners share begins with some first
+   column, after which both must have enough columns left for the bound below. Only that part of the
+   matrix makes candidate pairs, in rounds: each column pairs its documents with one of them, and
+   documents known to be connected are not paired again; at last each column pairs what is still
+   unconnected.
 4. Candidates are multiplied block by block of columns; the overlap adds up, and a pair goes as
    soon as overlap and columns to come can't reach the bound ``s / (1 + s) * (|x| + |y|)``.
 """
@@ -25,11 +26,11 @@ from pyspark.sql.window import Window
 
 from cartwright.llm.components import components
 from cartwright.llm.exchange import CHUNK_BYTES, ask_corpus, in_chunks, with_null_id
-from cartwright.llm.tables import stored
+from cartwright.llm.tables import Scratch, stored
 from cartwright.llm.words import encoded, gram_hashes, hashed_words, text_of_word
 
 BLOCKS = 3
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _incidence(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +89,13 @@ def shared_sets(docs: DataFrame, n: int, percent: int, chunk_bytes: int) -> Data
     )
 
 
-def _needed(x: Column, y: Column, percent: int) -> Column:
-    """The smallest overlap of sets of these sizes that reaches the similarity."""
-    return F.ceil(F.lit(percent) * (x + y) / F.lit(100 + percent))
+def _may_reach(percent: int) -> Column:
+    """Whether two sets that share a column, and none before it, can share enough."""
+    most = (100 + percent) * F.least("room", "other_room")
+    return most >= percent * (F.col("size") + F.col("other_size"))
 
 
-def _similar(pairs: DataFrame, entries: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, multiplied block by block."""
     for side in "ab":
         own = sizes.select(F.col("doc").alias(side), F.col("size").alias(f"size_{side}"), F.col("shared").alias(f"left_{side}"))
@@ -104,10 +106,6 @@ def _similar(pairs: DataFrame, entries: DataFrame, sizes: DataFrame, percent: in
         F.col("size_a") + F.col("size_b")
     )
     pairs = pairs.withColumn("overlap", F.lit(0).cast("bigint")).where(hope)
-    blocks = entries.groupBy("doc", F.pmod("gram", F.lit(BLOCKS)).alias("block")).agg(
-        F.collect_list("gram").alias("grams")
-    )
-    blocks = stored(blocks)
     for block in range(BLOCKS):
         part = blocks.where(F.col("block") == block)
         for side in "ab":
@@ -136,6 +134,14 @@ def near_copies(
     without a doc_id count as one document of the smallest id and get null back; repeated rows are
     copies of each other. Other columns are not read; an empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession)
+    result = stored(_near_copies(docs, n, percent, chunk_bytes, scratch))
+    scratch.remove()
+    return result
+
+
+def _near_copies(docs: DataFrame, n: int, percent: int, chunk_bytes: int, scratch: Scratch) -> DataFrame:
+    stored = scratch.stored
     sets = stored(shared_sets(docs, n, percent, chunk_bytes))
     near = sets.where("grams is not null")
     # Equal sets: one stands for all.
@@ -152,55 +158,73 @@ def near_copies(
     )
     rows = stored(rows)
     entries = stored(entries.join(rows.select("doc", "shared"), "doc"))
+    blocks = stored(
+        entries.groupBy("doc", F.pmod("gram", F.lit(BLOCKS)).alias("block")).agg(
+            F.collect_list("gram").alias("grams")
+        )
+    )
 
+    # ``room``: the most that two sets can share if this column is the first they share
     ranked = entries.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("doc").orderBy("holders", "gram"))
-    )
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+        "place", F.row_number().over(Window.partitionBy("doc").orderBy("holders", "gram"))
+    ).withColumn("room", F.col("shared") - F.col("place") + 1)
     head = stored(
-        ranked.where(F.col("size") - F.col("shared") + F.col("rank") <= prefix).select(
-            "gram", "doc", "size"
-        )
+        ranked.where(F.col("room") * 100 >= F.col("size") * percent).select("gram", "doc", "size", "room")
     )
     links = None
     tested = None
     for turn in range(ROUNDS + 1):
         members = head.withColumn("component", F.col("doc"))
         if links is not None:
-            known = components(links).withColumnsRenamed({"node": "doc", "component": "known"})
+            known = components(links, scratch).withColumnsRenamed({"node": "doc", "component": "known"})
             members = head.join(known, "doc", "left").withColumn(
                 "component", F.coalesce("known", "doc")
             )
+        # a column's pivot: first the document with most in common with others, then any
+        choice = -F.col("room") if turn == 0 else F.xxhash64("doc", F.lit(turn))
         open_grams = members.groupBy("gram").agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.min_by(F.struct("doc", "size", "component"), F.xxhash64("doc", F.lit(turn))).alias("pivot"),
+            F.min_by(
+                F.struct(
+                    F.col("doc").alias("other"), F.col("size").alias("other_size"),
+                    F.col("room").alias("other_room"), F.col("component").alias("other_component"),
+                ),
+                F.struct(choice, "doc"),
+            ).alias("pivot"),
         ).where("low <> high")
         members = stored(members.join(open_grams.select("gram", "pivot"), "gram"))
         if turn < ROUNDS:
-            pairs = members.where("component <> pivot.component").select(
-                "doc", "size", F.col("pivot.doc").alias("other"), F.col("pivot.size").alias("other_size")
+            pairs = members.select("doc", "size", "room", "component", "pivot.*").where(
+                "component <> other_component"
             )
         else:
-            kinds = members.select("gram", "component").distinct()
-            other = kinds.withColumnRenamed("component", "other_component")
-            met = kinds.join(other, "gram").where("component < other_component")
-            left = members.select("gram", "component", "doc", "size")
-            right = members.select(
-                "gram", F.col("component").alias("other_component"), F.col("doc").alias("other"), F.col("size").alias("other_size")
+            # components that may hold a pair, by their largest rooms and smallest sizes
+            kinds = stored(
+                members.groupBy("gram", "component").agg(F.max("room").alias("room"), F.min("size").alias("size"))
+            )
+            other = kinds.withColumnsRenamed(
+                {"component": "other_component", "room": "other_room", "size": "other_size"}
+            )
+            met = kinds.join(other, "gram").where(F.col("component") < F.col("other_component")).where(
+                _may_reach(percent)
+            ).select("gram", "component", "other_component")
+            left = members.select("gram", "component", "doc", "size", "room")
+            right = left.withColumnsRenamed(
+                {"component": "other_component", "doc": "other", "size": "other_size", "room": "other_room"}
             )
             pairs = met.join(left, ["gram", "component"]).join(right, ["gram", "other_component"])
         fits = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent
-        pairs = pairs.where(fits).select(
+        pairs = pairs.where(fits & _may_reach(percent)).select(
             F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")
         ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_similar(pairs, entries, rows, percent))
+        found = stored(_similar(pairs, blocks, rows, percent))
         links = found if links is None else links.union(found)
-    groups = components(links).withColumnsRenamed({"node": "doc", "component": "group"})
+    groups = components(links, scratch).withColumnsRenamed({"node": "doc", "component": "group"})
     of_signature = classes.join(groups, "doc", "left").select(
         "signature", F.coalesce("group", "doc").alias("component")
     )
@@ -216,8 +240,8 @@ def near_copies(
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents of the smallest id of each group of near copies, one row each, with all columns."""
     kept = near_copies(docs, **options).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("kept_id")
+        F.col("doc_id").alias("_kept_id")
     ).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(
         ["doc_id"]
     )

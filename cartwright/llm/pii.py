@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm import ciphers
-from cartwright.llm.tables import stored
+from cartwright.llm.tables import Scratch, stored
 
 KEY = b"surrogates"
 #: Up to so many entities with a second surrogate travel with the tasks; more are joined.
@@ -226,12 +226,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
-def second_choices(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def second_choices(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first surrogate won't do.
 
     It is their own form, some entity of the corpus, or taken by a smaller entity. Every attempt is
     checked against all entities and all surrogates given so far; the loop ends when all are free.
     """
+    stored = scratch.stored
     real = stored(found.select("kind", "canonical").distinct())
     taken_names = real.select("kind", F.col("canonical").alias("surrogate"))
 
@@ -274,17 +275,19 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     through; an ``n_replaced`` of the input is replaced. Rows without doc_id are treated like all
     others, repeated rows get the same text, an empty table stays empty.
     """
+    scratch = Scratch(docs.sparkSession)
     found = stored(_occurrences(docs))
-    second = stored(second_choices(found, key))
+    second = stored(second_choices(found, key, scratch))
+    scratch.remove()
     if second.count() <= CARRIED:
         attempts = {(r["kind"], r["canonical"]): r["attempt"] for r in second.toLocalIterator()}
         carried: Callable = lambda _: attempts
-        rows = docs.withColumn("choices", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
+        rows = docs.withColumn("_choices", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
     else:
         of_doc = found.where("doc_id is not null").join(second, ["kind", "canonical"]).groupBy(
-            F.col("doc_id").alias("chosen_id")
-        ).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("choices"))
-        rows = docs.join(of_doc, F.col("doc_id").cast("string") == F.col("chosen_id"), "left").drop("chosen_id")
+            F.col("doc_id").alias("_chosen_id")
+        ).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("_choices"))
+        rows = docs.join(of_doc, F.col("doc_id").cast("string") == F.col("_chosen_id"), "left").drop("_chosen_id")
         carried = lambda choices: {(c["kind"], c["canonical"]): c["attempt"] for c in choices if c} if choices is not None else {}
 
     @F.pandas_udf("text string, n_replaced int")
@@ -294,6 +297,6 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             columns=["text", "n_replaced"],
         )
 
-    return rows.withColumn("replaced", replace("text", "choices")).withColumns(
-        {"text": F.col("replaced.text"), "n_replaced": F.col("replaced.n_replaced")}
-    ).drop("replaced", "choices")
+    return rows.withColumn("_replaced", replace("text", "_choices")).withColumns(
+        {"text": F.col("_replaced.text"), "n_replaced": F.col("_replaced.n_replaced")}
+    ).drop("_replaced", "_choices")

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwright.sources.files import Files
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -35,6 +37,22 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only the making of one result needs; they go when it is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, shared_folder(spark), 0
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def remove(self) -> None:
+        Files(self.spark).delete(self.folder)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, from which numbers of partitions are derived."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
