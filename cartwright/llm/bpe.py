@@ -4,8 +4,8 @@ The encoding of a prefix is fixed by its last token: what stands before it is th
 shorter prefix. A token can be the last one if it ends the prefix and fits the last token of the
 prefix before it, that is, if merging the two tokens' bytes in rank order would give back just these
 two; exactly one token does. So one number a prefix is all the state: appending bytes goes on from
-the last prefix, an edit is re-encoded until the numbers meet the old ones again, and words that begin
-alike share the numbers of their common prefix.
+the last prefix, and an edit is re-encoded until the numbers meet the old ones again. The new words
+of many texts go forward together, a byte a step.
 """
 
 import base64
@@ -16,18 +16,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Splits text before encoding: the pattern of the rank files, with the commonest kinds first.
 PATTERN = r""" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
-#: Pieces, prefixes and pairs of tokens a worker remembers; it forgets all when it has more. Results
+#: Runs of non-blanks and pairs of tokens a worker remembers; it forgets all when it has more. Results
 #: don't depend on it.
-REMEMBERED = 400_000
-#: Longer pieces keep their prefixes to themselves.
-SHARED_PIECE = 48
-_MARKS = (16, 8)
+REMEMBERED = 200_000
+#: Longer pieces go forward on their own.
+LONG_PIECE = 64
+#: Characters of texts that are worked on together.
+TOGETHER = 2_000_000
 _SPLIT = regex.compile(PATTERN).findall
+#: The same cut, less fine: no piece goes on after a run of non-blanks, which has at most one space
+#: before it.
+_RUNS = regex.compile(r" ?\S++|\s+(?!\S)|\s+").findall
 
 
 def merged_by_rank(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
@@ -75,8 +79,47 @@ class Vocabulary:
             return cls.of({base64.b64decode(token): int(rank) for token, rank in pairs})
 
 
+class _Numbers:
+    """Whole numbers by whole-number keys, looked up many at a time."""
+
+    def __init__(self, bits: int):
+        self.bits, self.size = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int64)
+
+    def _spots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers, -1 for keys that have none."""
+        spots = self._spots(keys)
+        found = self.keys[spots]
+        out = np.where(found == keys, self.values[spots], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):  # the next spot, until the key or a free one
+            spots[open_] = (spots[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[spots[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[spots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def has_room(self, more: int) -> bool:
+        """Whether the table stays at most half full."""
+        return (self.size + more) * 2 <= 1 << self.bits
+
+    def add(self, keys: list[int], values: list[int]) -> None:
+        """New keys and their numbers; there has to be room for them."""
+        self.size += len(keys)
+        mask = (1 << self.bits) - 1
+        for key, value, spot in zip(keys, values, self._spots(np.array(keys, np.int64)).tolist()):
+            while self.keys[spot] >= 0:
+                spot = (spot + 1) & mask
+            self.keys[spot], self.values[spot] = key, value
+
+
 class Encoder:
-    """Encodes pieces; remembers pieces and the last tokens of their prefixes."""
+    """Encodes texts; remembers runs of non-blanks, and which tokens fit."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.tokens, self.left, self.right = vocabulary.tokens, vocabulary.left, vocabulary.right
@@ -84,31 +127,28 @@ class Encoder:
             (a, b): t for t, (a, b) in enumerate(zip(self.left, self.right)) if a >= 0
         }
         self.only_whole = {t: i for i, t in enumerate(self.tokens) if self.left[i] == -2}
-        # All ends of tokens: -1 where the end itself is no token that can be merged.
-        self.ends: dict[bytes, int] = {}
-        for token in self.tokens:
-            for at in range(len(token)):
-                self.ends.setdefault(token[at:], -1)
-        self.ends.update({t: i for i, t in enumerate(self.tokens) if self.left[i] != -2})
         self.longest = max(map(len, self.tokens))
-        self.bytes = [self.ends[bytes([b])] for b in range(256)]
-        self.with_byte = {
-            self.ends[t[:-1]] << 8 | t[-1]: i
-            for t, i in self.ends.items() if i >= 0 and len(t) > 1 and self.ends.get(t[:-1], -1) >= 0
-        }
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        # The tokens read backwards, as a tree: 0 is the root; of each node the token that ends here.
+        nodes: dict[int, int] = {}
+        self.token_of = [-1]
+        for i, token in enumerate(self.tokens):
+            at = 0
+            for byte in reversed(token):
+                step = at << 8 | byte
+                if step not in nodes:
+                    nodes[step] = len(self.token_of)
+                    self.token_of.append(-1)
+                at = nodes[step]
+            if self.left[i] != -2:
+                self.token_of[at] = i
+        self.steps = nodes
+        self.all_steps = _Numbers((4 * len(nodes)).bit_length())
+        self.all_steps.add(list(nodes), list(nodes.values()))
+        self.all_token_of = np.array(self.token_of, np.int64)
         self.fit: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self._forget_prefixes()
-
-    def _forget_prefixes(self) -> None:
-        """Prefixes are numbered; 0 is the empty one. Of each: its last token, the prefix before
-        that token, the prefix shorter by a byte, and by the number and a byte the one longer by
-        that byte. Prefixes of some lengths are also found by their bytes."""
-        self.longer: dict[int, int] = {}
-        self.last: list[int] = [-1]
-        self.before: list[int] = [0]
-        self.shorter: list[int] = [0]
-        self.marked: dict[bytes, int] = {}
+        self.all_fit = _Numbers(20)
+        self.runs: dict[str, bytes] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a and b, side by side, come out of the merges as they are.
@@ -141,89 +181,103 @@ class Encoder:
 
     def last_token(self, piece: bytes, end: int, last) -> int:
         """The last token of piece[:end], with ``last(i)`` that of piece[:i] for 0 < i < end."""
+        at = 0
         for start in range(end - 1, -1, -1):
-            token = self.ends.get(piece[start:end])
-            if token is None:
+            at = self.steps.get(at << 8 | piece[start], -1)
+            if at < 0:
                 break
+            token = self.token_of[at]
             if token >= 0 and (start == 0 or self.fits(last(start), token)):
                 return token
         raise AssertionError("every prefix has a last token")
 
-    def _last_tokens(self, piece: bytes) -> list[int]:
-        """The last token of every prefix of a long piece."""
-        found = [0] * (len(piece) + 1)
-        for end in range(1, len(piece) + 1):
-            found[end] = self.last_token(piece, end, found.__getitem__)
-        return found
-
-    def _prefix(self, piece: bytes) -> int:
-        """The number of the piece as a prefix; goes on from the longest prefix known."""
-        if len(self.last) > REMEMBERED:
-            self._forget_prefixes()
-        longer, size = self.longer, len(piece)
-        at = end = 0
-        for mark in _MARKS:
-            if size >= mark and (known := self.marked.get(piece[:mark])) is not None:
-                at, end = known, mark
-                break
-        while end < size:
-            after = longer.get(at << 8 | piece[end])
-            if after is None:
-                return self._new_prefixes(piece, end, at)
-            at = after
-            end += 1
-        return at
-
-    def _new_prefixes(self, piece: bytes, end: int, at: int) -> int:
-        """The number of the piece, of which ``at`` is the longest known prefix, of length ``end``."""
-        longer, last, ends = self.longer, self.last, self.ends
-        path = [at] * (end + 1)
-        for i in range(end - 1, max(end - self.longest, 0) - 1, -1):
-            path[i] = self.shorter[path[i + 1]]
-        for stop in range(end + 1, len(piece) + 1):
-            # Mostly the byte joins the last token or begins one; only one token can be right.
-            byte = piece[stop - 1]
-            left, token = self.before[at], self.with_byte.get(last[at] << 8 | byte)
-            if token is None or left and not self.fits(last[left], token):
-                left, token = at, self.bytes[byte]
-                if at and not self.fits(last[at], token):
-                    for start in range(stop - 2, -1, -1):
-                        token = ends.get(piece[start:stop])
-                        if token is None:
-                            raise AssertionError("every prefix has a last token")
-                        left = path[start]
-                        if token >= 0 and (not start or self.fits(last[left], token)):
-                            break
-            longer[at << 8 | piece[stop - 1]] = number = len(last)
-            last.append(token)
-            self.before.append(left)
-            self.shorter.append(at)
-            if stop in _MARKS:
-                self.marked[piece[:stop]] = number
-            path.append(number)
-            at = number
-        return at
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        known = self.pieces.get(text)
-        if known is None:
-            known = self.encode_bytes(text.encode("utf-8", "surrogatepass"))
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            if len(text) <= SHARED_PIECE:
-                self.pieces[text] = known
-        return known
+    def _all_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs fit, as booleans."""
+        keys = a << 32 | b
+        known = self.all_fit.get(keys)
+        new = np.unique(keys[known < 0])
+        if len(new):
+            if not self.all_fit.has_room(len(new)):  # forget all but what is asked now
+                new = np.unique(keys)
+                self.all_fit = _Numbers(max(self.all_fit.bits, (4 * len(new)).bit_length()))
+            self.all_fit.add(new.tolist(), [int(self.fits(k >> 32, k & 0xFFFFFFFF)) for k in new.tolist()])
+            known = self.all_fit.get(keys)
+        return known == 1
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, 4 bytes an id; all pieces go forward together, longest first."""
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        sizes = np.array([len(pieces[i]) for i in order], np.int64)
+        data = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        last = np.full(len(data), -1, np.int64)
+        for end in range(1, int(sizes.max(initial=0)) + 1):
+            spots = starts[: np.searchsorted(-sizes, -end, side="right")] + end - 1
+            nodes = np.zeros(len(spots), np.int64)
+            for back in range(1, end + 1):
+                nodes = self.all_steps.get(nodes << 8 | data[spots - back + 1])
+                alive = nodes >= 0
+                if not alive.all():
+                    raise AssertionError("every prefix has a last token")
+                tokens = self.all_token_of[nodes]
+                right = tokens >= 0
+                if back < end:
+                    some = np.flatnonzero(right)
+                    right[some] = self._all_fit(last[spots[some] - back], tokens[some])
+                last[spots[right]] = tokens[right]
+                spots, nodes = spots[~right], nodes[~right]
+                if not len(spots):
+                    break
+        # Back from each piece's end, a token a step.
+        ends, steps = starts + sizes, []
+        open_ = np.flatnonzero(sizes > 0)
+        while len(open_):
+            ids = last[ends[open_] - 1]
+            steps.append((open_, ids))
+            ends[open_] -= self.lengths[ids]
+            open_ = open_[ends[open_] > starts[open_]]
+        counts = np.zeros(len(sizes), np.int64)
+        for found, _ in steps:
+            counts[found] += 1
+        stops = np.cumsum(counts)
+        flat = np.empty(int(counts.sum()), np.int32)
+        for back, (found, ids) in enumerate(steps, 1):
+            flat[stops[found] - back] = ids
+        whole = flat.tobytes()
+        out = [b""] * len(pieces)
+        for i, stop, count in zip(order, stops.tolist(), counts.tolist()):
+            out[i] = whole[4 * (stop - count) : 4 * stop]
+        return out
 
     def encode_bytes(self, piece: bytes) -> tuple[int, ...]:
+        """The ids of one piece, by going forward on its own."""
         if piece in self.only_whole:
             return (self.only_whole[piece],)
-        if len(piece) > SHARED_PIECE:
-            return self.walked_back(self._last_tokens(piece))
-        ids, at = [], self._prefix(piece)
-        while at:
-            ids.append(self.last[at])
-            at = self.before[at]
-        return tuple(reversed(ids))
+        found = [0] * (len(piece) + 1)
+        for end in range(1, len(piece) + 1):
+            found[end] = self.last_token(piece, end, found.__getitem__)
+        return self.walked_back(found)
+
+    def _learn(self, runs: list[str]) -> None:
+        """Encode new runs and remember them."""
+        cut = []
+        for run in runs:
+            # letters, with or without a space before, are one piece
+            alone = run.isalpha() or run[0] == " " and run[1:].isalpha()
+            cut.append([run] if alone else _SPLIT(run))
+        known: dict[str, bytes] = {}
+        together: dict[str, bytes] = {}
+        for pieces in cut:
+            for piece in pieces:
+                if piece not in known and piece not in together:
+                    data = piece.encode("utf-8", "surrogatepass")
+                    if len(data) > LONG_PIECE or data in self.only_whole:
+                        known[piece] = np.array(self.encode_bytes(data), np.int32).tobytes()
+                    else:
+                        together[piece] = data
+        known.update(zip(together, self.encode_all(list(together.values()))))
+        for run, pieces in zip(runs, cut):
+            self.runs[run] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def walked_back(self, last: list[int]) -> tuple[int, ...]:
         ids, end = [], len(last) - 1
@@ -232,12 +286,18 @@ class Encoder:
             end -= len(self.tokens[last[end]])
         return tuple(reversed(ids))
 
-    def text(self, text: str) -> np.ndarray:
-        piece, known = self.piece, self.pieces.get
-        ids: list[int] = []
-        for part in _SPLIT(text):
-            ids += known(part) or piece(part)
-        return np.array(ids, np.int32)
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, special tokens taken as plain text."""
+        cut = [_RUNS(text) for text in texts]
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        known = self.runs
+        self._learn(list({run for runs in cut for run in runs if run not in known}))
+        return [np.frombuffer(b"".join(map(known.__getitem__, runs)), np.int32) for runs in cut]
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 class Draft:
@@ -291,33 +351,38 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
     return _encoders[vocabulary.name]
 
 
-def with_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The documents with the token ids of their whole texts, special tokens taken as plain text.
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, a part at a time: as many as are worked on together."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > TOGETHER:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
 
-    Null and empty texts have no ids. All other columns pass through, a column named like the new
-    one is replaced; rows keep their number and an empty table stays empty.
+def with_ids(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> DataFrame:
+    """The documents with the token ids of their whole texts in ``ids``.
+
+    Special tokens are taken as plain text. With ``decode`` there is ``decoded`` as well, the bytes that
+    the ids stand for. Null and empty texts have no ids. All other columns pass through, columns named
+    like the new ones are replaced; rows keep their number and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(shared.value)
         for texts in batches:
-            yield pd.Series([encoder.text(t if isinstance(t, str) else "") for t in texts], dtype=object)
-
-    return docs.withColumn(ids, encode(F.col(text)))
-
-
-def decoded(ids: Column, vocabulary: Vocabulary, docs: DataFrame) -> Column:
-    """The bytes of token ids; null ids give no bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = shared.value.tokens
-        for lists in batches:
-            yield pd.Series(
-                [b"".join(map(tokens.__getitem__, x)) if x is not None else b"" for x in lists], dtype=object
-            )
-
-    return decode(ids)
+            for part in _parts([t if isinstance(t, str) else "" for t in texts]):
+                ids = encoder.texts(part)
+                back = [encoder.decoded(x) if decode else None for x in ids]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(back, dtype=object)})
+
+    rows = docs.withColumn("ids", encode("text"))
+    if decode:
+        return rows.withColumns({"ids": F.col("ids.ids"), "decoded": F.col("ids.decoded")})
+    return rows.withColumn("ids", F.col("ids.ids"))

@@ -44,12 +44,10 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): token ids of whole texts, and whether
     decoding them gives the text's bytes again."""
     ship(spark)
-    vocabulary = bpe.Vocabulary.read(RANKS)
-    rows = bpe.with_ids(docs, vocabulary)
-    back = bpe.decoded(F.col("ids"), vocabulary, docs)
+    rows = bpe.with_ids(docs, bpe.Vocabulary.read(RANKS), decode=True)
     return rows.select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-        back.eqNullSafe(F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
     )
 
 
