@@ -9,7 +9,6 @@ of many texts go forward together, a byte a step.
 """
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,7 +52,6 @@ class Vocabulary:
     tokens: tuple[bytes, ...]
     left: tuple[int, ...]
     right: tuple[int, ...]
-    name: str
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> "Vocabulary":
@@ -68,8 +66,7 @@ class Vocabulary:
             two = [ranks[p] for p in parts] if len(parts) == 2 else [-1 if len(token) == 1 else -2] * 2
             left.append(two[0])
             right.append(two[1])
-        digest = hashlib.sha256(b"\n".join(map(base64.b64encode, tokens))).hexdigest()
-        return cls(tokens, tuple(left), tuple(right), digest)
+        return cls(tokens, tuple(left), tuple(right))
 
     @classmethod
     def read(cls, path: str) -> "Vocabulary":
@@ -340,17 +337,6 @@ class Draft:
         return self.encoder.walked_back(self.last)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(vocabulary: Vocabulary) -> Encoder:
-    """The process' encoder of a vocabulary, with what it remembers."""
-    if vocabulary.name not in _encoders:
-        _encoders.clear()
-        _encoders[vocabulary.name] = Encoder(vocabulary)
-    return _encoders[vocabulary.name]
-
-
 def _parts(texts: list[str]) -> Iterator[list[str]]:
     """The texts in order, a part at a time: as many as are worked on together."""
     part, size = [], 0
@@ -375,7 +361,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, decode: bool = False) -> D
 
     @F.pandas_udf("ids array<int>, decoded binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(shared.value)
+        encoder = Encoder(shared.value)  # goes with the task, and with it what it remembers
         for texts in batches:
             for part in _parts([t if isinstance(t, str) else "" for t in texts]):
                 ids = encoder.texts(part)

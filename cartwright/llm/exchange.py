@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from cartwright.llm.tables import text_bytes
 
 CHUNK_BYTES = 8 << 20
+#: A partition is a chunk, or up to so many bytes of chunks where there are more than 200.
+PARTITION_BYTES = 128 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -55,13 +57,15 @@ def as_id(numbers: np.ndarray) -> np.ndarray:
     return (numbers ^ _SIGN).view(np.int64)
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) of all documents dealt to chunks, and the number of chunks."""
-    chunks = max(1, -(-text_bytes(docs) // chunk_bytes))
+def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, text) of all documents dealt to chunks, the number of chunks, and of partitions."""
+    size = text_bytes(docs)
+    chunks = max(1, -(-size // chunk_bytes))
+    partitions = max(min(chunks, 200), -(-size // PARTITION_BYTES))
     known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     dealt = docs.select(known.alias("doc_id"), F.col("text").cast("string"))
     dealt = dealt.select(chunk_of("doc_id", chunks).alias("chunk"), "doc_id", "text")
-    return dealt.repartition(chunks, "chunk"), chunks
+    return dealt.repartition(partitions, "chunk"), chunks, partitions
 
 
 def with_null_id(rows: DataFrame, *names: str) -> DataFrame:
@@ -72,6 +76,7 @@ def with_null_id(rows: DataFrame, *names: str) -> DataFrame:
 def ask_corpus(
     dealt: DataFrame,
     buckets: int,
+    partitions: int,
     ask: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]],
     combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
     answer: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame],
@@ -116,7 +121,7 @@ def ask_corpus(
     questions = dealt.groupBy("chunk").applyInPandas(
         question, "chunk long, bucket long, keys binary, numbers binary"
     )
-    replies = questions.groupBy("bucket").applyInPandas(
+    replies = questions.repartition(partitions, "bucket").groupBy("bucket").applyInPandas(
         reply, "chunk long, bucket long, numbers binary"
     )
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(read_again, schema)

@@ -30,6 +30,8 @@ SHARE = 2e-5
 RELATIVE = 0.2
 #: At most so many labelled documents of a language are learned from (in expectation).
 TRAIN_DOCS = 20_000
+#: A task hands on its counts when it holds so many n-grams.
+HELD_GRAMS = 1_000_000
 #: A language is a bit of a word.
 LANGUAGES = 64
 UNKNOWN = "und"
@@ -114,6 +116,17 @@ def _sampled(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(counts), "lang").where(draw * F.col("docs") < TRAIN_DOCS)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all parts and their summed counts."""
+    grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(back, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+
+def _rows(sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    for (lang, n), (grams, times) in sums.items():
+        yield pd.DataFrame({"lang": lang, "n": n, "gram": grams.view(np.int64), "times": times})
+
+
 def learn(rows: DataFrame) -> Model:
     """A model of the labelled rows (doc_id, text, lang).
 
@@ -124,17 +137,17 @@ def learn(rows: DataFrame) -> Model:
     rows = rows.select("doc_id", "lang", "text").where("lang is not null and text is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for lang, group in batch.groupby("lang"):
-                parts: dict[int, list] = {n: [] for n in LENGTHS}
-                for text in group["text"]:
-                    for n, hashes in _gram_pieces(text):
-                        parts[n].append(np.unique(hashes, return_counts=True))
-                for n, found in parts.items():
-                    if found:
-                        grams, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                        times = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
-                        yield pd.DataFrame({"lang": lang, "n": n, "gram": grams.view(np.int64), "times": times})
+            found: dict[tuple[str, int], list] = {key: [s] for key, s in sums.items()}
+            for lang, text in zip(batch["lang"], batch["text"]):
+                for n, hashes in _gram_pieces(text):
+                    found.setdefault((lang, n), []).append(np.unique(hashes, return_counts=True))
+            sums = {key: _merged(parts) for key, parts in found.items()}
+            if sum(len(grams) for grams, _ in sums.values()) > HELD_GRAMS:
+                yield from _rows(sums)
+                sums = {}
+        yield from _rows(sums)
 
     scratch = Scratch(rows.sparkSession)
     counted = scratch.stored(

@@ -98,6 +98,6 @@ def scored(
             }
         )
 
-    dealt, chunks = in_chunks(docs, chunk_bytes)
+    dealt, chunks, partitions = in_chunks(docs, chunk_bytes)
     schema = "doc_id long, n_words long, log10_score double, mean_log10 double"
-    return with_null_id(ask_corpus(dealt, chunks, ask, total, answer, schema), "doc_id")
+    return with_null_id(ask_corpus(dealt, chunks, partitions, ask, total, answer, schema), "doc_id")

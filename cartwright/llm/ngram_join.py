@@ -83,9 +83,9 @@ def shared_sets(docs: DataFrame, n: int, percent: int, chunk_bytes: int) -> Data
                 rows.append((doc_id, int(size), None, None))
         return pd.DataFrame(rows, columns=["doc_id", "size", "signature", "grams"])
 
-    dealt, chunks = in_chunks(docs, chunk_bytes)
+    dealt, chunks, partitions = in_chunks(docs, chunk_bytes)
     return ask_corpus(
-        dealt, chunks, ask, total, answer, "doc_id long, size long, signature string, grams array<long>"
+        dealt, chunks, partitions, ask, total, answer, "doc_id long, size long, signature string, grams array<long>"
     )
 
 
@@ -208,12 +208,14 @@ def _near_copies(docs: DataFrame, n: int, percent: int, chunk_bytes: int, scratc
             )
             met = kinds.join(other, "gram").where(F.col("component") < F.col("other_component")).where(
                 _may_reach(percent)
-            ).select("gram", "component", "other_component")
+            ).select("gram", "component", "other_component", "other_size", "other_room")
             left = members.select("gram", "component", "doc", "size", "room")
             right = left.withColumnsRenamed(
                 {"component": "other_component", "doc": "other", "size": "other_size", "room": "other_room"}
             )
-            pairs = met.join(left, ["gram", "component"]).join(right, ["gram", "other_component"])
+            # a member has to reach the other component before it meets its members
+            able = met.join(left, ["gram", "component"]).where(_may_reach(percent))
+            pairs = able.drop("other_size", "other_room").join(right, ["gram", "other_component"])
         fits = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent
         pairs = pairs.where(fits & _may_reach(percent)).select(
             F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")

@@ -12,8 +12,13 @@ import cartwright
 _shipped: set[str] = set()
 
 
+#: Rows that Spark hands to Python at once; texts are long, and the default of 10,000 is tens of MB.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Spark hand this package to all executors, once an application."""
+    """Let Spark hand this package to all executors, once an application, and texts in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.abspath(cartwright.__file__))

@@ -94,8 +94,8 @@ def without_repeats(
             rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace"), paths))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "paths"])
 
-    dealt, chunks = in_chunks(docs, chunk_bytes)
-    return with_null_id(ask_corpus(dealt, chunks, ask, first, answer, _SCHEMA), "doc_id")
+    dealt, chunks, partitions = in_chunks(docs, chunk_bytes)
+    return with_null_id(ask_corpus(dealt, chunks, partitions, ask, first, answer, _SCHEMA), "doc_id")
 
 
 def checked(docs: DataFrame, rows: DataFrame) -> DataFrame:
