@@ -57,14 +57,20 @@ def as_id(numbers: np.ndarray) -> np.ndarray:
     return (numbers ^ _SIGN).view(np.int64)
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
-    """(chunk, doc_id, text) of all documents dealt to chunks, the number of chunks, and of partitions."""
+def in_chunks(
+    docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, key: str | None = None
+) -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, text) of all documents dealt to chunks, the number of chunks, and of partitions.
+
+    Documents are dealt by their id, or by the column ``key``, which then is in the result as well.
+    """
     size = text_bytes(docs)
     chunks = max(1, -(-size // chunk_bytes))
     partitions = max(min(chunks, 200), -(-size // PARTITION_BYTES))
     known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    dealt = docs.select(known.alias("doc_id"), F.col("text").cast("string"))
-    dealt = dealt.select(chunk_of("doc_id", chunks).alias("chunk"), "doc_id", "text")
+    more = [key] if key else []
+    dealt = docs.select(known.alias("doc_id"), *more, F.col("text").cast("string"))
+    dealt = dealt.select(chunk_of(key or "doc_id", chunks).alias("chunk"), "doc_id", *more, "text")
     return dealt.repartition(partitions, "chunk"), chunks, partitions
 
 

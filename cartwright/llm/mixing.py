@@ -79,10 +79,15 @@ def mixed(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     doc_id, or without, are documents of their own. An empty table gives no rows; where no text
     has a word all is 0. Other columns are not read.
     """
+    return _mixed(docs, recipe)
+
+
+def _mixed(docs: DataFrame, recipe: Recipe, *more: str) -> DataFrame:
+    """The rows of ``mixed`` with the columns ``more``, which order what id and size leave open."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes = stored(
         docs.select(
-            "doc_id", "source",
+            "doc_id", "source", *more,
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
             key.alias("key"),
         )
@@ -100,7 +105,7 @@ def mixed(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
         starts,
         F.col("source").eqNullSafe(F.col("part_source")) & (F.col("bucket") == F.col("part_bucket")),
     )
-    inside = Window.partitionBy("place", "bucket").orderBy("key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("place", "bucket").orderBy("key", "doc_id", "size", *more).rowsBetween(
         Window.unboundedPreceding, 0
     )
     placed = placed.withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
@@ -110,7 +115,7 @@ def mixed(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     taken = runs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), last))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", budget.alias("budget"), "start",
-        taken.cast("bigint").alias("taken"), "turn",
+        taken.cast("bigint").alias("taken"), "turn", *more,
     )
 
 
@@ -132,6 +137,11 @@ def placements(rows: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     ``rows`` come from ``mixed``. The last copy of the stream's last run may have fewer words than
     the document. Ties are ordered by source, doc_id and copy.
     """
+    return _placements(rows, recipe).orderBy("position", "source", "doc_id", "copy")
+
+
+def _placements(rows: DataFrame, recipe: Recipe, *more: str) -> DataFrame:
+    """The rows of ``placements`` in no order, with the columns ``more``."""
     copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
     each = rows.where("taken > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)).alias("copy")
@@ -140,25 +150,28 @@ def placements(rows: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     return each.select(
         "doc_id", "source", "copy",
         F.least("size", F.col("taken") - F.col("copy") * F.col("size")).alias("words"),
-        due(begin, F.col("budget"), F.col("turn"), recipe).alias("position"),
-    ).orderBy("position", "source", "doc_id", "copy")
+        due(begin, F.col("budget"), F.col("turn"), recipe).alias("position"), *more,
+    )
 
 
 def training_order(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """The documents as the mix takes them: a row for each copy, all columns, sorted by position.
 
-    Of rows with one doc_id one stays. Where the end of a source's budget falls inside a document,
-    that copy ends there.
+    Every row is a document of its own, also where ids are missing or repeat. Where the end of a
+    source's budget falls inside a document, that copy ends there.
     """
-    docs = docs.dropDuplicates(["doc_id"])
-    taken = placements(mixed(docs, recipe), recipe).select(
-        F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), "copy", "words", "position"
-    )
     fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # a column may be named like ours
-    joined = docs.select(fields.alias("doc")).join(taken, F.col("doc.doc_id").eqNullSafe(F.col("taken_id")))
+    # equal rows have one key: one of them is joined to the places of all of them
+    keyed = docs.select(fields.alias("doc"), F.md5(F.to_json(fields).cast("binary")).alias("row_key"))
+    rows = _mixed(keyed.select("doc.doc_id", "doc.source", "doc.text", "row_key"), recipe, "row_key")
+    taken = _placements(rows, recipe, "row_key").select(
+        "row_key", F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"),
+        "copy", "words", "position",
+    )
+    joined = keyed.dropDuplicates(["row_key"]).join(taken, "row_key")
     cut = F.when(F.regexp_count("doc.text", F.lit(WORD)) > F.col("words"), F.col("doc.text"))
     text = F.coalesce(_first_words(cut, F.col("words")), F.col("doc.text"))
-    ordered = joined.orderBy("position", "taken_source", "taken_id", "copy")
+    ordered = joined.orderBy("position", "taken_source", "taken_id", "row_key", "copy")
     return ordered.select(
         *[text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     )

@@ -31,6 +31,14 @@ from cartwright.llm.words import encoded, gram_hashes, hashed_words, text_of_wor
 
 BLOCKS = 3
 ROUNDS = 2
+#: A row's own key: ids may be missing or repeat.
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a digest of id and text, so that rows of one key are the same document."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return docs.withColumn(KEY, F.md5(F.concat(parts[0], F.lit("\x1f"), parts[1]).cast("binary")))
 
 
 def _incidence(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +63,8 @@ def _starts(grams: np.ndarray) -> np.ndarray:
 
 
 def shared_sets(docs: DataFrame, n: int, percent: int, chunk_bytes: int) -> DataFrame:
-    """(doc_id, size, signature, grams): the set's size and a digest of it; its grams that other
-    documents hold as well, where they are enough for a partner to exist, else null."""
+    """(doc_id, key, size, signature, grams): the row's key, the set's size and a digest of it; its
+    grams that other documents hold as well, where they are enough for a partner to exist, else null."""
 
     def ask(group: pd.DataFrame):
         grams, _ = _incidence(group["text"], n)
@@ -74,18 +82,19 @@ def shared_sets(docs: DataFrame, n: int, percent: int, chunk_bytes: int) -> Data
         sizes = np.bincount(owners, minlength=len(group))
         ends = np.cumsum(sizes)
         rows = []
-        for doc_id, size, end in zip(group["doc_id"], sizes, ends):
+        for doc_id, key, size, end in zip(group["doc_id"], group[KEY], sizes, ends):
             own, often = grams[end - size : end], held[end - size : end] >= 2
             if size and 100 * int(often.sum()) >= percent * int(size):
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest()
-                rows.append((doc_id, int(size), digest, own[often].view(np.int64)))
+                rows.append((doc_id, key, int(size), digest, own[often].view(np.int64)))
             else:
-                rows.append((doc_id, int(size), None, None))
-        return pd.DataFrame(rows, columns=["doc_id", "size", "signature", "grams"])
+                rows.append((doc_id, key, int(size), None, None))
+        return pd.DataFrame(rows, columns=["doc_id", "key", "size", "signature", "grams"])
 
-    dealt, chunks, partitions = in_chunks(docs, chunk_bytes)
+    dealt, chunks, partitions = in_chunks(_keyed(docs), chunk_bytes, KEY)
     return ask_corpus(
-        dealt, chunks, partitions, ask, total, answer, "doc_id long, size long, signature string, grams array<long>"
+        dealt, chunks, partitions, ask, total, answer,
+        "doc_id long, key string, size long, signature string, grams array<long>",
     )
 
 
@@ -130,24 +139,38 @@ def near_copies(
 
     A set holds the text's distinct runs of ``n`` words, A to Z in lower case; a shorter text is
     one run; a null or empty text has none and no link. Documents link when 100 times the overlap is
-    at least ``percent`` times the union. ``component_id`` is the smallest doc_id reachable. Rows
-    without a doc_id count as one document of the smallest id and get null back; repeated rows are
-    copies of each other. Other columns are not read; an empty table gives no rows.
+    at least ``percent`` times the union. ``component_id`` is the smallest doc_id reachable, null
+    being the smallest of all. Every row is a document of its own, also where ids are missing or
+    repeat: only texts link. Other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    result = stored(_near_copies(docs, n, percent, chunk_bytes, scratch))
+    sets, groups = _grouped(docs, n, percent, chunk_bytes, scratch)
+    result = sets.select("doc_id", "size", "signature").join(
+        groups.select("signature", "component_id"), "signature", "left"
+    )
+    result = stored(with_null_id(
+        result.select(
+            "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        ),
+        "doc_id", "component_id",
+    ))
     scratch.remove()
     return result
 
 
-def _near_copies(docs: DataFrame, n: int, percent: int, chunk_bytes: int, scratch: Scratch) -> DataFrame:
+def _grouped(
+    docs: DataFrame, n: int, percent: int, chunk_bytes: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and (signature, component_id, kept_key) of each set that may have partners:
+    the smallest doc_id of its component, and of that id's rows there the smallest key."""
     stored = scratch.stored
     sets = stored(shared_sets(docs, n, percent, chunk_bytes))
     near = sets.where("grams is not null")
-    # Equal sets: one stands for all.
-    classes = stored(near.groupBy("signature").agg(F.min("doc_id").alias("doc")))
-    first = near.select(F.col("doc_id").alias("doc"), "signature", "size", "grams").join(
-        classes, ["signature", "doc"]
+    # Equal sets: one row of the smallest id and key stands for all, under a number of the set's own.
+    lowest = near.groupBy("signature").agg(F.min(F.struct("doc_id", "key")).alias("low"))
+    classes = stored(lowest.withColumn("doc", F.monotonically_increasing_id()))
+    first = near.select("signature", "key", "size", "grams").join(
+        classes.select("signature", F.col("low.key").alias("key"), "doc"), ["signature", "key"]
     ).dropDuplicates(["signature"])
     cells = first.select("doc", "size", F.explode("grams").alias("gram"))
     cells = stored(cells)
@@ -227,23 +250,29 @@ def _near_copies(docs: DataFrame, n: int, percent: int, chunk_bytes: int, scratc
         found = stored(_similar(pairs, blocks, rows, percent))
         links = found if links is None else links.union(found)
     groups = components(links, scratch).withColumnsRenamed({"node": "doc", "component": "group"})
-    of_signature = classes.join(groups, "doc", "left").select(
-        "signature", F.coalesce("group", "doc").alias("component")
-    )
-    result = sets.select("doc_id", "size", "signature").join(of_signature, "signature", "left")
-    return with_null_id(
-        result.select(
-            "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-        ),
-        "doc_id", "component_id",
-    )
+    of_set = stored(classes.join(groups, "doc", "left").select(
+        "signature", F.coalesce("group", "doc").alias("component"), "low"
+    ))
+    lows = of_set.groupBy("component").agg(F.min("low").alias("low"))
+    return sets, stored(of_set.drop("low").join(lows, "component").select(
+        "signature", F.col("low.doc_id").alias("component_id"), F.col("low.key").alias("kept_key")
+    ))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the smallest id of each group of near copies, one row each, with all columns."""
-    kept = near_copies(docs, **options).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_kept_id")
-    ).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(
-        ["doc_id"]
-    )
+def one_of_each(
+    docs: DataFrame, n: int = 5, percent: int = 75, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """One row of each group of near copies, of its smallest id, with all columns.
+
+    Rows without partners all stay, whatever their ids; of rows with one id and text one stays,
+    unless the text has no word.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sets, groups = _grouped(docs, n, percent, chunk_bytes, scratch)
+    near = sets.where("grams is not null").select(F.col("key").alias(KEY))
+    kept = groups.select(F.col("kept_key").alias(KEY)).distinct()
+    gone = stored(near.join(kept, KEY, "left_anti").distinct())
+    scratch.remove()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = _keyed(docs.where(worded)).dropDuplicates([KEY]).join(gone, KEY, "left_anti")
+    return single.select(*docs.columns).union(docs.where(~worded))

@@ -77,6 +77,14 @@ def test_documents_as_taken(spark, rows):
     assert words == want
 
 
+def test_missing_and_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(i if i % 3 else None, prose(i, 30), "en", "a") for i in range(30)]
+    rows += [(5, prose(i, 30), "en", "a") for i in range(40, 50)] + [(6, prose(60, 30), "en", "a")] * 3
+    recipe = mixing.Recipe(share=2.0)  # one source at its cap: all rows twice, none cut
+    taken = mixing.training_order(documents(spark, rows), recipe).collect()
+    assert sorted(r["text"] for r in taken) == sorted(2 * [r[1] for r in rows])
+
+
 def test_odd_rows(spark):
     rows = odd_rows()
     found = mixing.mixed(documents(spark, rows).withColumnRenamed("lang", "size")).collect()

@@ -69,6 +69,25 @@ def test_missing_id_and_clashing_columns(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None, 4}
 
 
+def test_missing_and_repeated_ids_keep_distinct_texts(spark):
+    """Rows without id, and rows of one id, link by their texts only."""
+    first, second = prose(1, 80), prose(2, 80)
+    rows = [
+        (None, first), (None, second), (None, prose(3, 80)), (None, prose(4, 80)), (None, ""), (None, ""),
+        (7, mutated(first, 7, 1)), (9, mutated(second, 9, 1)),
+        (20, prose(5, 90)), (20, prose(6, 90)), (21, mutated(prose(5, 90), 1, 2)), (22, mutated(prose(6, 90), 2, 2)),
+        (19, mutated(prose(6, 90), 3, 2)), (30, prose(8, 40)), (30, prose(9, 40)), (31, prose(10, 40)), (31, prose(10, 40)),
+    ]
+    docs = documents(spark, rows)
+    found = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.near_copies(docs).collect() if r["doc_id"])
+    assert found == [
+        (7, None), (9, None), (19, 19), (20, 19), (20, 20), (21, 20), (22, 19), (30, 30), (30, 30), (31, 31), (31, 31)
+    ]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in ngram_join.one_of_each(docs).collect())
+    want = [*rows[:6], rows[8], rows[12], *rows[13:16]]
+    assert kept == sorted((i or -1, text) for i, text in want)
+
+
 def test_empty_table(spark):
     assert ngram_join.near_copies(documents(spark, [])).collect() == []
 
