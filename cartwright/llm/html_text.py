@@ -111,8 +111,12 @@ class _Builder:
     def _before_table(self, node: Node) -> None:
         """Content where only rows may stand is moved in front of the table."""
         depth = self.find({"table"}, ())
+        if not depth:  # rows or sections without a table
+            self.open[-1].children.append(node)
+            return
         parent, table = self.open[depth - 1], self.open[depth]
-        parent.children.insert(len(parent.children) - 1 if parent.children[-1] is table else len(parent.children), node)
+        last = bool(parent.children) and parent.children[-1] is table
+        parent.children.insert(len(parent.children) - last, node)
 
     def start(self, name: str, attributes: dict[str, str]) -> Node | None:
         if name in ("html", "body"):

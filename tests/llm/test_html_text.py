@@ -36,6 +36,14 @@ def test_cases(page):
     assert re.sub("(?m) +$", "", page_text(page)) == CASES[page].strip("\n") or page_text(page).strip() == CASES[page].strip()
 
 
+@pytest.mark.parametrize("part", ["tr", "tbody", "thead", "tfoot"])
+def test_rows_and_sections_without_a_table(part):
+    assert page_text(f"<{part}>text").split() == ["text"]
+    assert page_text(f"a<{part}>text<b>bold</b></{part}>z").split() == ["a", "textbold", "z"]
+    assert page_text(f"<div><{part}>one<{part}>two</div>three").split() == ["one", "two", "three"]
+    assert page_text(f"<{part}>x<td>cell</{part}><table><{part}>stray<tr><td>y</table>").split() == ["x", "cell", "stray", "y"]
+
+
 def test_deep_and_long_pages():
     assert page_text("<div>" * 20000 + "deep") == "deep"
     assert page_text("<li>" * 3000 + "x").endswith("x")
