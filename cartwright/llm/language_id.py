@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-A learned model is one array of 64-bit words. A language is a bit, so one look at an n-gram's
-positions, and'ed, names every language that has it. Each language's bits form an ordinary Bloom
+A learned model is an array of 64-bit words for every 64 languages. A language is a bit, so one look
+at an n-gram's positions, and'ed, names every language that has it. Each language's bits form an ordinary Bloom
 filter; how full that slice is gives its rate of false positives, by which the counts of a text's
 hits are corrected before they decide.
 """
@@ -32,8 +32,8 @@ RELATIVE = 0.2
 TRAIN_DOCS = 20_000
 #: A task hands on its counts when it holds so many n-grams.
 HELD_GRAMS = 1_000_000
-#: A language is a bit of a word.
-LANGUAGES = 64
+#: A language is a bit of a word; there are as many words a slot as the languages need.
+WORD_BITS = 64
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 19
@@ -71,17 +71,18 @@ def _gram_pieces(text: str) -> Iterator[tuple[int, np.ndarray]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in their order (bit 0 first), the words of bits, and each slice's fill."""
+    """Languages in their order (bit 0 of word 0 first), the words of bits (a row for every 64
+    languages, a column a slot), and each slice's fill."""
 
     languages: tuple[str, ...]
     words: np.ndarray
     fill: np.ndarray
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of languages that have it, as bits."""
-        found = np.full(len(hashes), 2**64 - 1, np.uint64)
+        """For each n-gram (column) the set of languages that have it, as bits of the words (rows)."""
+        found = np.full((len(self.words), len(hashes)), 2**64 - 1, np.uint64)
         for spot in _positions(hashes):
-            found &= self.words[spot]
+            found &= self.words[:, spot]
         return found
 
     def decide(self, text) -> tuple[str, float]:
@@ -91,9 +92,10 @@ class Model:
         total, hits = 0, np.zeros(len(self.languages))
         for _, hashes in _gram_pieces(text):
             masks = self.masks(hashes)
-            total += len(masks)
-            for bit in range(len(self.languages)):
-                hits[bit] += np.count_nonzero(masks & np.uint64(1 << bit))
+            total += len(hashes)
+            for i in range(len(self.languages)):
+                word, bit = divmod(i, WORD_BITS)
+                hits[i] += np.count_nonzero(masks[word] & np.uint64(1 << bit))
         if not total:
             return UNKNOWN, 0.0
         false = np.minimum(self.fill**PROBES, 0.999999)
@@ -110,8 +112,6 @@ def _positions(hashes: np.ndarray) -> Iterator[np.ndarray]:
 def _sampled(rows: DataFrame) -> DataFrame:
     """All labelled documents of a language, or about TRAIN_DOCS of them, picked by id."""
     counts = rows.groupBy("lang").agg(F.count("*").alias("docs"))
-    counts = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("docs"), "lang")))
-    counts = counts.where(F.col("place") <= LANGUAGES).select("lang", "docs")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(F.broadcast(counts), "lang").where(draw * F.col("docs") < TRAIN_DOCS)
 
@@ -130,9 +130,9 @@ def _rows(sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> Iterato
 def learn(rows: DataFrame) -> Model:
     """A model of the labelled rows (doc_id, text, lang).
 
-    Texts are counted whole. What reaches the driver is the n-grams frequent enough to be used, at
-    most ``1 / SHARE`` a language and length. Of more than 64 languages the 64 with most documents
-    are learned. Rows without lang or text teach nothing.
+    Texts are counted whole. An n-gram is used if it is frequent enough, which holds for at most
+    ``1 / SHARE`` a language and length; what reaches the driver is the words that are not zero, at
+    most ``SLOTS`` for every 64 languages. Rows without lang or text teach nothing.
     """
     rows = rows.select("doc_id", "lang", "text").where("lang is not null and text is not null")
 
@@ -160,20 +160,25 @@ def learn(rows: DataFrame) -> Model:
     shares = counted.join(F.broadcast(totals), ["lang", "n"]).select(
         "lang", "gram", (F.col("times") / F.col("all")).alias("share")
     ).where(F.col("share") >= SHARE)
-    frequent = shares.toPandas()  # bounded by SHARE, LENGTHS and LANGUAGES
+    most = F.max("share").over(Window.partitionBy("gram"))
+    frequent = scratch.stored(
+        shares.withColumn("most", most).where(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram")
+    )
+    languages = tuple(sorted(r["lang"] for r in frequent.select("lang").distinct().collect()))
+    words = np.zeros((max(1, -(-len(languages) // WORD_BITS)), SLOTS), np.uint64)
+    if languages:
+        numbers = rows.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
+        spots = [
+            F.shiftrightunsigned("gram", 20 * probe).bitwiseAND(F.lit(SLOTS - 1)) for probe in range(PROBES)
+        ]
+        bit = F.expr(f"shiftleft(1L, number % {WORD_BITS})")
+        cells = frequent.join(F.broadcast(numbers), "lang").select(
+            F.floor(F.col("number") / WORD_BITS).alias("word"), bit.alias("bit"), F.explode(F.array(*spots)).alias("spot")
+        ).groupBy("word", "spot").agg(F.bit_or("bit").alias("bits")).toPandas()
+        words[cells["word"].to_numpy(), cells["spot"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
     scratch.remove()
-    most = frequent.groupby("gram")["share"].transform("max")
-    frequent = frequent[frequent["share"] >= RELATIVE * most]
-    languages = tuple(sorted(frequent["lang"].unique()))
-    words = np.zeros(SLOTS, np.uint64)
-    fill = np.zeros(len(languages))
-    for bit, language in enumerate(languages):
-        hashes = frequent["gram"][frequent["lang"] == language].to_numpy().view(np.uint64)
-        slice_ = np.zeros(SLOTS, bool)
-        for spot in _positions(hashes):
-            slice_[spot] = True
-        words[slice_] |= np.uint64(1 << bit)
-        fill[bit] = slice_.mean()
+    places = (divmod(i, WORD_BITS) for i in range(len(languages)))
+    fill = np.array([np.count_nonzero(words[w] & np.uint64(1 << b)) / SLOTS for w, b in places])
     return Model(languages, words, fill)
 
 
@@ -189,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language, the first by name among equals; its score is the share of n-grams that language has.
     Other columns pass through; ``lang_pred`` and ``score`` of the input are replaced.
     """
-    learned = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the input
+    learned = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for every 64 languages
 
     @F.pandas_udf("lang_pred string, score double")
     def decide(texts: pd.Series) -> pd.DataFrame:

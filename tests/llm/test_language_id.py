@@ -68,3 +68,19 @@ def test_held_out_rows(spark):
 
     rows = documents(spark, [(i, "x") for i in range(50)] + [(None, "x")]).select("doc_id", language_id.held_out().alias("h"))
     assert all(r["h"] == (r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows.collect())
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """Each label has letters of its own; those after the 64th are learned like the first."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(130):
+        letters = [chr(0x4E00 + 30 * i + j) for j in range(20)]
+        text = " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))
+        rows += [(1000 * i + j, text, f"l{i:03}", "x") for j in range(1 + (i < 64))]
+    docs = documents(spark, rows)
+    model = language_id.learn(docs)
+    assert len(model.languages) == 130 and model.words.shape == (3, language_id.SLOTS)
+    found = language_id.predict(docs, model).collect()
+    assert len(found) == len(rows) and all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 for r in found)
