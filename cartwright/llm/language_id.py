@@ -7,7 +7,7 @@ hits are corrected before they decide.
 """
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,6 +35,9 @@ HELD_GRAMS = 1_000_000
 #: A language is a bit of a word; there are as many words a slot as the languages need.
 WORD_BITS = 64
 UNKNOWN = "und"
+#: A text is in a learned language if its distinct n-grams' hits exceed the expected false positives by more than one
+#: and so many standard deviations.
+DEVIATIONS = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 19
 
@@ -87,21 +90,40 @@ class Model:
 
     def decide(self, text) -> tuple[str, float]:
         """(language, share of the text's n-grams that it has, corrected for false positives)."""
-        if not isinstance(text, str) or not self.languages:
+        total, hits = self._hits(h for _, h in _gram_pieces(text)) if isinstance(text, str) else (0, None)
+        if not total or not self.languages:
             return UNKNOWN, 0.0
+        false = self._false()
+        real = np.clip((hits - total * false) / (1 - false), 0, total)
+        best = int(np.argmax(real))  # the first of equals
+        return self.languages[best], float(real[best] / total)
+
+    def knows(self, text) -> bool:
+        """Whether some language has more of the text's distinct n-grams than false positives explain.
+
+        Without learned languages every text with a letter is known: there is nothing to judge by.
+        """
+        pieces = [np.unique(h) for _, h in _gram_pieces(text)] if isinstance(text, str) else []
+        total, hits = self._hits([np.unique(np.concatenate(pieces))] if pieces else [])
+        if not total or not self.languages:
+            return total > 0
+        false = self._false()
+        chance = total * false + 1 + DEVIATIONS * np.sqrt(total * false * (1 - false))
+        return bool((hits > chance).any())
+
+    def _false(self) -> np.ndarray:
+        return np.minimum(self.fill**PROBES, 0.999999)
+
+    def _hits(self, pieces: Iterable[np.ndarray]) -> tuple[int, np.ndarray]:
+        """How many n-grams there are, and how many of them each language seems to have."""
         total, hits = 0, np.zeros(len(self.languages))
-        for _, hashes in _gram_pieces(text):
+        for hashes in pieces:
             masks = self.masks(hashes)
             total += len(hashes)
             for i in range(len(self.languages)):
                 word, bit = divmod(i, WORD_BITS)
                 hits[i] += np.count_nonzero(masks[word] & np.uint64(1 << bit))
-        if not total:
-            return UNKNOWN, 0.0
-        false = np.minimum(self.fill**PROBES, 0.999999)
-        real = np.clip((hits - total * false) / (1 - false), 0, total)
-        best = int(np.argmax(real))  # the first of equals
-        return self.languages[best], float(real[best] / total)
+        return total, hits
 
 
 def _positions(hashes: np.ndarray) -> Iterator[np.ndarray]:
@@ -205,6 +227,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ).drop("_decision")
 
 
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents in a learned language (``Model.knows``), with their columns."""
+    learned = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def knows(texts: pd.Series) -> pd.Series:
+        return pd.Series([learned.value.knows(t) for t in texts], dtype=bool)
+
+    return docs.where(knows("text"))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """Learn from the labelled documents that are not held out, then predict all documents."""
     return predict(docs, learn(docs.where(~held_out())))

@@ -12,11 +12,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language; those without any letter go."""
+    """Documents whose text is in a learned language; without any labels all that have a letter."""
     ship(spark)
     model = language_id.learn(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs, model)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.known(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,21 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert len(model.languages) == 130 and model.words.shape == (3, language_id.SLOTS)
     found = language_id.predict(docs, model).collect()
     assert len(found) == len(rows) and all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 for r in found)
+
+
+def test_the_language_stage_acts_on_the_decision(spark, docs):
+    import corpus_pipeline
+
+    clean = [r["text"] for r in docs.where("lang is not null and n_chars > 200").limit(40).collect()]
+    junk = ["日本語のテキストです。" * 20, "ქართული ენა არის " * 20, "ཨ་ཨ་", "1234 !!! 99", "", None]
+    planted = documents(spark, [(10**9 + i, t) for i, t in enumerate(clean + junk)])
+    table = docs.select(*planted.columns).union(planted)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, table, SF_DIR).collect()}
+    assert {i - 10**9 for i in kept if i >= 10**9} == set(range(len(clean)))
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    import corpus_pipeline
+
+    rows = documents(spark, [(1, "some text", None, "a"), (2, "日本語", None, "a"), (3, "123", None, "a"), (4, None)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, rows, SF_DIR).collect()) == [1, 2]
