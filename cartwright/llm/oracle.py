@@ -193,4 +193,87 @@ ORACLE = {
                NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6)::DOUBLE AS host_rate
         FROM based b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source
     """,
+    "op12_conversation_repair": """
+        WITH RECURSIVE bits AS (
+            SELECT n, n AS c, 0 AS k FROM range(256) r(n)
+            UNION ALL
+            SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (
+            SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+        ), keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+            FROM conversations
+        ), kinds AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind
+            FROM keyed, crc
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM kinds
+        ), placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, left(role, 1) AS initial,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS place,
+                   NOT regexp_matches(text, '[^\\x09-\\x0D ]') AS is_blank,
+                   NOT regexp_matches(text, '[.!?][\\x09-\\x0D ]*\\z') AS is_cut
+            FROM damaged
+        ), seen AS (
+            SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 AS is_again,
+                   lag(initial) OVER (PARTITION BY conv ORDER BY place) || initial AS pair
+            FROM placed
+        ), faults AS (
+            SELECT *, is_blank OR is_again AS bound,
+                   CASE WHEN is_cut AND NOT is_blank AND NOT is_again THEN 5 ELSE 0 END AS more
+            FROM seen
+        ), figures AS (
+            SELECT conv, any_value(conv_id) AS conv_id, count(*) AS n,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again AND NOT is_blank) AS duplicate,
+                   count(*) FILTER (more > 0) AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv
+        ), ways AS (
+            -- the least (cost, audit, lines) of each state: s0 nothing yet, s1 after a system turn, s2 user, s3 assistant
+            SELECT conv, 0::BIGINT AS place, {'c': 0, 'a': '', 'r': ''} AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS s1,
+                   {'c': 5, 'a': 'I', 'r': chr(10) || 'user:'} AS s2,
+                   {'c': 10, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s3
+            FROM figures
+            UNION ALL
+            SELECT conv, place, s0, s1,
+                   list_sort(list_filter([s2, CASE WHEN s0 IS NOT NULL THEN {'c': s0.c + 5, 'a': s0.a || 'I', 'r': s0.r || chr(10) || 'user:'} END,
+                       CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 5, 'a': s1.a || 'I', 'r': s1.r || chr(10) || 'user:'} END,
+                       CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + 5, 'a': s3.a || 'I', 'r': s3.r || chr(10) || 'user:'} END],
+                       lambda x: x IS NOT NULL))[1],
+                   list_sort(list_filter([s3, CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 5, 'a': s2.a || 'I', 'r': s2.r || chr(10) || 'assistant:'} END],
+                       lambda x: x IS NOT NULL))[1]
+            FROM (
+                SELECT w.conv, f.place,
+                       {'c': s0.c + 2, 'a': s0.a || 'D', 'r': s0.r} AS s0,
+                       list_sort(list_filter([CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'a': s1.a || 'D', 'r': s1.r} END,
+                           CASE WHEN NOT bound AND initial = 's' THEN {'c': s0.c + more, 'a': s0.a || 'K', 'r': s0.r || chr(10) || role || ':' || text} END],
+                           lambda x: x IS NOT NULL))[1] AS s1,
+                       list_sort(list_filter(list_concat([{'c': s2.c + 2, 'a': s2.a || 'D', 'r': s2.r}],
+                           flatten(list_transform(list_filter([s0, s1, s3], lambda x: x IS NOT NULL AND NOT bound), lambda x: [
+                               {'c': x.c + 1 + more, 'a': x.a || 'R', 'r': x.r || chr(10) || 'user:' || text},
+                               CASE WHEN initial = 'u' THEN {'c': x.c + more, 'a': x.a || 'K', 'r': x.r || chr(10) || role || ':' || text} END]))),
+                           lambda x: x IS NOT NULL))[1] AS s2,
+                       list_sort(list_filter([{'c': s3.c + 2, 'a': s3.a || 'D', 'r': s3.r},
+                           CASE WHEN NOT bound THEN {'c': s2.c + 1 + more, 'a': s2.a || 'R', 'r': s2.r || chr(10) || 'assistant:' || text} END,
+                           CASE WHEN NOT bound AND initial = 'a' THEN {'c': s2.c + more, 'a': s2.a || 'K', 'r': s2.r || chr(10) || role || ':' || text} END],
+                           lambda x: x IS NOT NULL))[1] AS s3
+                FROM ways w JOIN faults f ON f.conv = w.conv AND f.place = w.place + 1
+            )
+        ), ends AS (
+            SELECT conv, list_sort([s0, s3])[1] AS best FROM ways JOIN figures USING (conv) WHERE place = n
+        )
+        SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+               coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+               sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) ids
+        LEFT JOIN (figures JOIN ends USING (conv)) f ON f.conv_id IS NOT DISTINCT FROM ids.conv_id
+    """,
 }

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.llm import (
-    bpe, exact_topk, host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
+    bpe, conversation_repair, exact_topk, host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
     substring_dedup,
 )
 from cartwright.llm.shipping import ship
@@ -79,6 +79,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.every_summary(conversation_repair.damaged(rows), rows)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_host_rules": op2_host_rules,
@@ -90,4 +95,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_topk": op9_exact_topk,
     "op10_bpe": op10_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
 }
