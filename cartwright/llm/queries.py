@@ -5,13 +5,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.llm import (
-    bpe, conversation_repair, exact_topk, host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
+    best_fit_packing, bpe, conversation_repair, exact_topk, host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
     substring_dedup,
 )
 from cartwright.llm.shipping import ship
 
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.every_summary(conversation_repair.damaged(rows), rows)
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(PIECES, encoding="utf-8") as file:
+        return best_fit_packing.packed(_table(spark, sf_dir, "documents"), file.read())
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_host_rules": op2_host_rules,
@@ -96,4 +102,5 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_bpe": op10_bpe,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
