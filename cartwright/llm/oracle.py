@@ -193,6 +193,28 @@ ORACLE = {
                NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6)::DOUBLE AS host_rate
         FROM based b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source
     """,
+    "op11_hard_negatives": """
+        WITH whole AS (
+            SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.row AS anchor, a.vec_id AS anchor_id, o.row, o.vec_id, o.label = a.label AS alike,
+                   list_sum(list_transform(list_zip(a.v, o.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM whole a JOIN whole o ON a.row <> o.row WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor, anchor_id, row, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5
+        )
+        SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, n.vec_id AS negative_id, positive_score,
+               n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.alike
+            AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id, n.row)
+        QUALIFY row_number() OVER w <= 10
+    """,
     "op12_conversation_repair": """
         WITH RECURSIVE bits AS (
             SELECT n, n AS c, 0 AS k FROM range(256) r(n)

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.llm import (
-    best_fit_packing, bpe, conversation_repair, exact_topk, host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
+    best_fit_packing, bpe, conversation_repair, exact_topk, hard_negatives,
+    host_rules, html_text, language_id, lm_scoring, mixing, ngram_join, pii,
     substring_dedup,
 )
 from cartwright.llm.shipping import ship
@@ -80,6 +81,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     return conversation_repair.every_summary(conversation_repair.damaged(rows), rows)
@@ -101,6 +108,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_topk": op9_exact_topk,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
