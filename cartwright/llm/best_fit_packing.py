@@ -15,7 +15,7 @@ Spark numbers the pieces, looks up their runs and sums the offsets in each seque
 """
 
 import os
-import struct
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,7 +38,7 @@ LARGE = 3
 #: less. All are planned, and the plan of the fewest sequences is taken.
 GROUPS = (24, 96, 300)
 #: Words, and parts of words, whose ids a task keeps at once.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 #: Bytes of text whose new words are encoded together.
 TOGETHER = 1 << 20
 
@@ -47,6 +47,8 @@ TOGETHER = 1 << 20
 
 #: ASCII that is neither letter, digit, blank nor apostrophe.
 _SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: How a token that ends a word is marked.
+_WORD_END = "</w>"
 
 
 class Encoder:
@@ -60,36 +62,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special) or rb"(?!)")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+    def _cut(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """A word in lower case and the signs behind it; None where they may belong together."""
         body = word.rstrip(_SIGNS)
-        last = body[-1:]
-        if not body or any(s in word for s in self.special):
-            return (word,)
-        if not (last.isalnum() if last.isascii() else body.decode()[-1].isalnum()):
-            return (word,)
-        return (body.lower(), word[len(body) :]) if len(body) < len(word) else (body.lower(),)
+        if body.isalnum() or (body and body.decode()[-1].isalnum() and not self.special.search(word)):
+            if len(body) == len(word) or not self.special.search(word):
+                return body.lower(), word[len(body) :]
+        return None
+
+    def _encode(self, parts: list[bytes]) -> None:
+        """Words of letters are encoded many at once, and told apart by the tokens that end a word."""
+        letters, others = [], []
+        for part in parts:
+            text = part.decode()
+            (letters if text.isalpha() else others).append((part, text))
+        for lo in range(0, len(letters), 400):
+            some = letters[lo : lo + 400]
+            line = self.library.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0]
+            ids = np.array(line.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(some):
+                others += some
+                continue
+            content, at = ids.tobytes(), 0
+            for (part, _), to in zip(some, cuts.tolist()):
+                self.parts[part] = content[at:to]
+                at = to
+        for lo in range(0, len(others), 4096):
+            some = others[lo : lo + 4096]
+            found = self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            for (part, _), encoding in zip(some, found):
+                self.parts[part] = np.array(encoding.ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Takes in the words not known yet."""
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
         if len(self.parts) > KNOWN_WORDS:
-            self.parts = {}
-        parts = {w: self._parts(w) for w in words if w not in self.known}
-        new = list({p for found in parts.values() for p in found if p not in self.parts})
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            found = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for part, encoding in zip(some, found):
-                ids = encoding.ids
-                self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.parts.__getitem__
-        self.known.update((w, b"".join(map(get, found))) for w, found in parts.items())
+            self.parts = {b"": b""}
+        new = words.difference(self.known)
+        cut = {w: self._cut(w) or (w, b"") for w in new}
+        self.parts.setdefault(b"", b"")
+        self._encode(list({p for found in cut.values() for p in found}.difference(self.parts)))
+        parts = self.parts
+        self.known.update((w, parts[body] + parts[signs]) for w, (body, signs) in cut.items())
 
     def ids(self, texts: list) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, and the id that ends a document."""

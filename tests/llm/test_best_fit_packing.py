@@ -1,5 +1,6 @@
 """Pieces against the library over whole texts; packings against what holds for any good one."""
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,11 +45,14 @@ def test_ids_are_the_librarys(library):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,!'́_-<|>aAsStTİΣςé²5½\x1c\x85"), st.characters(codec="utf-8")), max_size=40))
 def test_ids_of_any_text(text):
-    library = Tokenizer.from_str(CONTENT) if not hasattr(test_ids_of_any_text, "library") else test_ids_of_any_text.library
-    test_ids_of_any_text.library = library
-    encoder = packing.Encoder(CONTENT, 1)
-    encoder.library = library
-    assert next(iter(encoder.ids([text]))).tolist() == whole(library, text)
+    encoder = shared_encoder()
+    encoder.known, encoder.parts = {}, {}
+    assert next(iter(encoder.ids([text]))).tolist() == whole(encoder.library, text)
+
+
+@functools.cache
+def shared_encoder():
+    return packing.Encoder(CONTENT, 1)
 
 
 def check(rows, capacity):
