@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwright.llm.memory import released, released_pair
 from cartwright.llm.tables import text_bytes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: A partition is a chunk, or up to so many bytes of chunks where there are more than 200.
 PARTITION_BYTES = 128 << 20
 
@@ -95,6 +96,7 @@ def ask_corpus(
     texts, the keys and the combined numbers and returns rows of ``schema``.
     """
 
+    @released
     def question(group: pd.DataFrame) -> pd.DataFrame:
         keys, values = ask(group)
         cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
@@ -105,6 +107,7 @@ def ask_corpus(
         ]
         return pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "numbers"])
 
+    @released
     def reply(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.cumsum(unpacked(k), dtype=np.uint64) for k in group["keys"]]
         keys = np.concatenate(parts)
@@ -119,6 +122,7 @@ def ask_corpus(
         replies = [packed(back[e - len(p) : e]) for p, e in zip(parts, ends)]
         return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "numbers": replies})
 
+    @released_pair
     def read_again(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         replies = replies.sort_values("bucket")
         numbers = [unpacked(v) for v in replies["numbers"]] or [np.zeros(0, np.uint64)]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cartwright.llm.exchange import CHUNK_BYTES, ask_corpus, in_chunks, with_null_id
-from cartwright.llm.words import encoded, gram_hashes, hashed_words, text_of_word
+from cartwright.llm.words import encoded, gram_hashes, text_of_word, word_hashes
 
 #: The key under which every chunk tells its number of words.
 _ALL_WORDS = np.uint64(2**64 - 1)
@@ -20,7 +20,7 @@ _ALL_WORDS = np.uint64(2**64 - 1)
 
 def _grams(group: pd.DataFrame, order: int):
     """Word offsets, the words' texts, and for each length the n-grams with their first words."""
-    hashes, offsets, _, _ = hashed_words(encoded(group["text"]))
+    hashes, offsets = word_hashes(encoded(group["text"]))
     owner = text_of_word(offsets)
     found = []
     for n in range(1, order + 1):

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from cartwright.llm.components import components
 from cartwright.llm.exchange import CHUNK_BYTES, ask_corpus, in_chunks, with_null_id
 from cartwright.llm.tables import Scratch, stored
-from cartwright.llm.words import encoded, gram_hashes, hashed_words, text_of_word
+from cartwright.llm.words import encoded, gram_hashes, text_of_word, word_hashes
 
 BLOCKS = 3
 ROUNDS = 2
@@ -43,16 +43,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _incidence(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(gram, number of the text), each pair once, sorted by gram and text."""
-    hashes, offsets, _, _ = hashed_words(encoded(texts, lower=True))
+    hashes, offsets = word_hashes(encoded(texts, lower=True))
     grams = gram_hashes(hashes, n)
-    texts_of = text_of_word(offsets)
-    whole = texts_of[: len(grams)] == texts_of[n - 1 :] if len(grams) else np.zeros(0, bool)
+    owners = text_of_word(offsets)
+    whole = owners[: len(grams)] == owners[n - 1 :] if len(grams) else np.zeros(0, bool)
     short = [i for i, k in enumerate(np.diff(offsets)) if 0 < k < n]
     alone = [gram_hashes(hashes[offsets[i] : offsets[i + 1]], int(offsets[i + 1] - offsets[i])) for i in short]
+    del hashes
     grams = np.concatenate([grams[whole], *alone])
-    owners = np.concatenate([texts_of[: len(whole)][whole], np.asarray(short, np.int64)])
-    order = np.lexsort((owners, grams))
+    owners = np.concatenate([owners[: len(whole)][whole], np.asarray(short, np.int32)])
+    # texts stand in order, and those of few words share no gram with others: the sort keeps them so
+    order = np.argsort(grams, kind="stable")
     grams, owners = grams[order], owners[order]
+    del order
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
     return grams[new], owners[new]

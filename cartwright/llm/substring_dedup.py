@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cartwright.llm.exchange import (
     CHUNK_BYTES, as_id, as_number, ask_corpus, in_chunks, with_null_id,
 )
-from cartwright.llm.words import encoded, gram_hashes, hashed_words, text_of_word
+from cartwright.llm.words import encoded, gram_hashes, text_of_word, word_hashes
 
 WIDTH = 13
 _SCHEMA = (
@@ -30,7 +30,7 @@ _SCHEMA = (
 def _edges(group: pd.DataFrame, width: int):
     """(texts, word offsets, edges, their first words, the documents of these as numbers)."""
     texts = encoded(group["text"])
-    hashes, offsets, _, _ = hashed_words(texts)
+    hashes, offsets = word_hashes(texts)
     owner = text_of_word(offsets)
     grams = gram_hashes(hashes, width)
     at = np.flatnonzero(owner[: len(grams)] == owner[width - 1 :]) if len(grams) else np.zeros(0, np.int64)

@@ -2,7 +2,7 @@
 
 A word is a longest run of bytes other than space, tab, line feed, vertical tab, form feed and
 carriage return. Hashes come from prefix sums over the bytes, so their cost does not depend on the
-number of Python objects, and a text of any length is read in pieces of a megabyte.
+number of Python objects, and a text of any length is read in pieces.
 """
 
 import re
@@ -12,7 +12,7 @@ import numpy as np
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BLANKS = re.compile(rb"[\t-\r ]")
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _CODES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -54,6 +54,24 @@ def _piece_words(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(h + (ends - starts).astype(np.uint64) * _STEP), starts, ends
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of ``hashed_words``, in a third of its memory."""
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    joined, texts = b"\n".join(texts), None
+    counts = np.zeros(len(ends), np.int64)
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(joined):
+        cut = _BLANKS.search(joined, min(at + _PIECE, len(joined)))
+        to = cut.start() if cut else len(joined)
+        hashes, starts, _ = _piece_words(joined[at:to])
+        parts.append(hashes)
+        low = np.searchsorted(ends, at, "right")  # the texts of this piece
+        high = np.searchsorted(ends, to, "right") + 1
+        counts[low:high] += np.diff(np.searchsorted(starts, ends[low:high] - at), prepend=0)
+        at = to + 1
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(counts)))
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, offsets, starts, ends): text i has the words offsets[i] to offsets[i + 1]; starts
     and ends are byte positions in the texts joined by one line feed."""
@@ -76,7 +94,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def text_of_word(offsets: np.ndarray) -> np.ndarray:
     """The number of the text that each word belongs to."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -30,6 +30,14 @@ def test_words_are_those_of_bytes_split(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, pieces))
 
 
+def test_hashes_alone(monkeypatch):
+    for piece in (1 << 18, 16, 1):
+        monkeypatch.setattr(words, "_PIECE", piece)
+        for data in (words.encoded(texts()), [], [b""], [b"", b" ", b"a"], [b"one", b"", b"two words "]):
+            for own, both in zip(words.word_hashes(data), words.hashed_words(data)):
+                assert own.tolist() == both.tolist()
+
+
 def test_grams_differ_by_order_and_length():
     hashes = words.hashed_words([b"a b a b c"])[0]
     two = words.gram_hashes(hashes, 2).tolist()
