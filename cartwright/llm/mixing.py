@@ -1,20 +1,16 @@
 """Mixing sources to target weights along a curriculum.
 
 Targets are poured like water: every source rises with its weight until its cap. A source's documents
-form a stream in an order that depends on their ids alone; the target is cut from that stream,
-which may run more than once. A source's share of the training changes over time by a schedule; its
+form a stream in an order that depends on their ids and texts alone; as many whole documents are taken
+from that stream as come nearest to the target, and it may run more than once. A source's share of the training changes over time by a schedule; its
 integral is the source's cumulative demand, whose inverse gives the training position at which a
 place of the stream is due. Sorting by position over all sources gives the training order.
 """
 
-import re
 from dataclasses import dataclass
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from cartwright.llm.tables import stored
@@ -74,24 +70,30 @@ def mixed(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
 
     ``size`` is the text's words (null: 0). ``start`` is the document's place in its source's
     stream, in words; ``budget`` the target in whole words; ``taken`` the words the mix takes:
-    every full run of the stream, and of the last run the words before its end, so that a source's
-    documents together take its budget exactly. A null source is a source, the last one; rows of one
-    doc_id, or without, are documents of their own. An empty table gives no rows; where no text
-    has a word all is 0. Other columns are not read.
+    every full run of the stream, and of the last run the documents of which more than half lies
+    before its end. Documents are taken whole, so a source misses its budget by half a document at
+    most. A null source is a source, the last one; rows of one doc_id, or without, are documents of
+    their own. An empty table gives no rows; where no text has a word all is 0. Other columns
+    are not read.
     """
     return _mixed(docs, recipe)
 
 
 def _mixed(docs: DataFrame, recipe: Recipe, *more: str) -> DataFrame:
-    """The rows of ``mixed`` with the columns ``more``, which order what id and size leave open."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = stored(
-        docs.select(
-            "doc_id", "source", *more,
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            key.alias("key"),
-        )
+    """The rows of ``mixed`` with the columns ``more``.
+
+    The place in the stream follows from a digest of id and text and, among equal rows, of their
+    count, so that no id and no text, however frequent, makes a part of the stream long.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    id_and_text = F.concat_ws(
+        "\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
     )
+    equal = docs.select("doc_id", "source", *more, size.alias("size"), F.md5(id_and_text.cast("binary")).alias("key"))
+    equal = equal.groupBy("doc_id", "source", *more, "size", "key").agg(F.count("*").alias("n"))
+    each = equal.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    key = F.md5(F.concat("key", F.col("copy").cast("string")).cast("binary"))
+    sizes = stored(each.withColumn("key", key).drop("n", "copy"))
     rows = sizes.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sources = stored(targets(sizes, recipe))
     # where each part of a stream starts: a row a source and part
@@ -112,7 +114,7 @@ def _mixed(docs: DataFrame, recipe: Recipe, *more: str) -> DataFrame:
     budget = F.floor(F.col("target") + 0.5)
     runs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     last = budget - runs * F.col("source_size") - F.col("start")
-    taken = runs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), last))
+    taken = (runs + F.when(2 * last > F.col("size"), 1).otherwise(0)) * F.col("size")
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", budget.alias("budget"), "start",
         taken.cast("bigint").alias("taken"), "turn", *more,
@@ -134,22 +136,20 @@ def due(words: Column, budget: Column, turn: Column, recipe: Recipe) -> Column:
 def placements(rows: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """(doc_id, source, copy, words, position) of each time a document is taken, in training order.
 
-    ``rows`` come from ``mixed``. The last copy of the stream's last run may have fewer words than
-    the document. Ties are ordered by source, doc_id and copy.
+    ``rows`` come from ``mixed``. Ties are ordered by source, doc_id and copy.
     """
     return _placements(rows, recipe).orderBy("position", "source", "doc_id", "copy")
 
 
 def _placements(rows: DataFrame, recipe: Recipe, *more: str) -> DataFrame:
     """The rows of ``placements`` in no order, with the columns ``more``."""
-    copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    copies = F.expr("taken div size")
     each = rows.where("taken > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)).alias("copy")
     )
     begin = F.col("start") + F.col("copy") * F.col("source_size")
     return each.select(
-        "doc_id", "source", "copy",
-        F.least("size", F.col("taken") - F.col("copy") * F.col("size")).alias("words"),
+        "doc_id", "source", "copy", F.col("size").alias("words"),
         due(begin, F.col("budget"), F.col("turn"), recipe).alias("position"), *more,
     )
 
@@ -157,34 +157,15 @@ def _placements(rows: DataFrame, recipe: Recipe, *more: str) -> DataFrame:
 def training_order(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """The documents as the mix takes them: a row for each copy, all columns, sorted by position.
 
-    Every row is a document of its own, also where ids are missing or repeat. Where the end of a
-    source's budget falls inside a document, that copy ends there.
+    Every row is a document of its own, also where ids are missing or repeat, and always whole.
     """
     fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # a column may be named like ours
     # equal rows have one key: one of them is joined to the places of all of them
     keyed = docs.select(fields.alias("doc"), F.md5(F.to_json(fields).cast("binary")).alias("row_key"))
     rows = _mixed(keyed.select("doc.doc_id", "doc.source", "doc.text", "row_key"), recipe, "row_key")
     taken = _placements(rows, recipe, "row_key").select(
-        "row_key", F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"),
-        "copy", "words", "position",
+        "row_key", F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), "copy", "position",
     )
     joined = keyed.dropDuplicates(["row_key"]).join(taken, "row_key")
-    cut = F.when(F.regexp_count("doc.text", F.lit(WORD)) > F.col("words"), F.col("doc.text"))
-    text = F.coalesce(_first_words(cut, F.col("words")), F.col("doc.text"))
     ordered = joined.orderBy("position", "taken_source", "taken_id", "row_key", "copy")
-    return ordered.select(
-        *[text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    )
-
-
-@F.pandas_udf(StringType())  # a type, as no session may run yet
-def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
-    """The texts up to the end of so many words; null for null, as almost all are."""
-
-    def cut(text, count):
-        if not isinstance(text, str):
-            return None
-        last = next(islice(re.finditer(WORD, text), int(count) - 1, None))
-        return text[: last.end()]
-
-    return pd.Series([cut(t, n) for t, n in zip(texts, words)], dtype=object)
+    return ordered.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -38,8 +38,9 @@ ORACLE = {
     """,
     "op6_mixing": """
         WITH sized AS (
-            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
-                   coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D ]+')), 0)::BIGINT AS size
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D ]+')), 0)::BIGINT AS size,
+                   md5(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, ''))
+                       || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)::VARCHAR) AS key
             FROM documents
         ), sums AS (
             SELECT source, sum(size)::BIGINT AS source_size,
@@ -74,7 +75,9 @@ ORACLE = {
         ), taken AS (
             SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS runs FROM placed
         ), parts AS (
-            SELECT *, (runs * size + greatest(0, least(size, budget - runs * source_size - start)))::BIGINT AS taken
+            -- the document at the budget's end counts if more than half of it lies before
+            SELECT *, (runs * size + CASE WHEN 2 * (budget - runs * source_size - start) > size THEN size ELSE 0 END)::BIGINT
+                   AS taken
             FROM taken
         )
         SELECT doc_id, size, source_size, target, taken,
