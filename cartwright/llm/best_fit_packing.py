@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
+from cartwright.llm.memory import released_batches
 from cartwright.llm.tables import Scratch, stored
 
 CAPACITY = 4096
@@ -37,47 +38,59 @@ LARGE = 3
 #: Groups of large pieces, and so sizes of the configurations: few leave more even gaps, many round up
 #: less. All are planned, and the plan of the fewest sequences is taken.
 GROUPS = (24, 96, 300)
-#: Words, and parts of words, whose ids a task keeps at once.
-KNOWN_WORDS = 600_000
-#: Bytes of text whose new words are encoded together.
+#: Words whose ids a task keeps at once.
+KNOWN_WORDS = 400_000
+#: Characters of text whose new words are encoded together.
 TOGETHER = 1 << 20
 
 
 # ---- tokens ---------------------------------------------------------------------------------
 
-#: ASCII that is neither letter, digit, blank nor apostrophe.
-_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: ASCII that is neither letter, digit, blank nor apostrophe, as a class of characters.
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+#: Signs that may belong to what stands beside them, as that is neither letter nor digit nor blank.
+_BESIDE = rf"(?:[^\w\s{_SIGNS}]|[\x1c-\x1f])"
+_ATTACHED = re.compile(rf"[{_SIGNS}](?:(?={_BESIDE})|(?<={_BESIDE}[{_SIGNS}]))")
+_PARTS = re.compile(rf"[^\x09-\x0d {_SIGNS}]+|[{_SIGNS}]+".encode())
 #: How a token that ends a word is marked.
 _WORD_END = "</w>"
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """A tokenizer's file, which of its ids end a word, and its special tokens."""
+
+    content: str
+    ends: np.ndarray
+    special: tuple[bytes, ...]
+
+    @classmethod
+    def of(cls, content: str) -> "Vocabulary":
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(content)
+        ids = library.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(ids.values()) + 1, bool)
+        ends[[i for token, i in ids.items() if token.endswith(_WORD_END)]] = True
+        return cls(content, ends, tuple(t.content.encode() for t in library.get_added_tokens_decoder().values()))
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that never joins text across white space or between a letter and
-    a sign after it, and that takes A to Z as a to z: what files with word ends and lower case do.
+    a sign beside it, and that takes A to Z as a to z: what files with word ends and lower case do.
 
-    Each distinct word, without the signs behind it, is encoded once; a text's ids are those of its words.
+    Each distinct word, without the signs around it, is encoded once; a text's ids are those of its words
+    and signs. Texts whose signs may belong to what stands beside them are cut at white space only.
     """
 
-    def __init__(self, content: str, end: int):
+    def __init__(self, vocabulary: Vocabulary, end: int):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(content)
-        special = [re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(special) or rb"(?!)")
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.library = Tokenizer.from_str(vocabulary.content)
+        self.ends = vocabulary.ends
+        self.special = re.compile(b"|".join(map(re.escape, vocabulary.special)) or rb"(?!)")
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _cut(self, word: bytes) -> tuple[bytes, bytes] | None:
-        """A word in lower case and the signs behind it; None where they may belong together."""
-        body = word.rstrip(_SIGNS)
-        if body.isalnum() or (body and body.decode()[-1].isalnum() and not self.special.search(word)):
-            if len(body) == len(word) or not self.special.search(word):
-                return body.lower(), word[len(body) :]
-        return None
 
     def _encode(self, parts: list[bytes]) -> None:
         """Words of letters are encoded many at once, and told apart by the tokens that end a word."""
@@ -95,26 +108,21 @@ class Encoder:
                 continue
             content, at = ids.tobytes(), 0
             for (part, _), to in zip(some, cuts.tolist()):
-                self.parts[part] = content[at:to]
+                self.known[part] = content[at:to]
                 at = to
         for lo in range(0, len(others), 4096):
             some = others[lo : lo + 4096]
             found = self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)
             for (part, _), encoding in zip(some, found):
-                self.parts[part] = np.array(encoding.ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Takes in the words not known yet."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        if len(self.parts) > KNOWN_WORDS:
-            self.parts = {b"": b""}
-        new = words.difference(self.known)
-        cut = {w: self._cut(w) or (w, b"") for w in new}
-        self.parts.setdefault(b"", b"")
-        self._encode(list({p for found in cut.values() for p in found}.difference(self.parts)))
-        parts = self.parts
-        self.known.update((w, parts[body] + parts[signs]) for w, (body, signs) in cut.items())
+                self.known[part] = np.array(encoding.ids, "<u4").tobytes()
+
+    def _parts(self, text) -> list[bytes]:
+        if not isinstance(text, str) or not text:
+            return []
+        content = text.encode("utf-8", "replace")
+        if _ATTACHED.search(text) or self.special.search(content):
+            return content.split()
+        return _PARTS.findall(content.lower())
 
     def ids(self, texts: list) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, and the id that ends a document."""
@@ -122,14 +130,15 @@ class Encoder:
         while at < len(texts):
             some, size = [], 0
             while at < len(texts) and (not some or size < TOGETHER):
-                text = texts[at].encode("utf-8", "replace") if isinstance(texts[at], str) else b""
-                some.append(text.split())
-                size += len(text)
+                size += len(texts[at]) if isinstance(texts[at], str) else 0
+                some.append(self._parts(texts[at]))
                 at += 1
-            self.learn(set().union(*some))
+            if len(self.known) > KNOWN_WORDS:
+                self.known = {}
+            self._encode(list(set().union(*some).difference(self.known)))
             get = self.known.__getitem__
-            for words in some:
-                yield np.frombuffer(b"".join(map(get, words)) + self.end, "<u4")
+            for parts in some:
+                yield np.frombuffer(b"".join(map(get, parts)) + self.end, "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -141,10 +150,12 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACI
     a task, ``part`` is its number. Columns other than doc_id and text are not read.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "part", "nth"]
+    vocabulary = Vocabulary.of(tokenizer)
 
+    @released_batches
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = Encoder(tokenizer, end)
+        encoder = Encoder(vocabulary, end)
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out = []

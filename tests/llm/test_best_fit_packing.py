@@ -37,7 +37,7 @@ ODD_TEXTS = [
 
 def test_ids_are_the_librarys(library):
     texts = [*ODD_TEXTS, *[r[1] for r in odd_rows()], " ".join(t or "" for t in ODD_TEXTS)]
-    encoder = packing.Encoder(CONTENT, 1)
+    encoder = packing.Encoder(packing.Vocabulary.of(CONTENT), 1)
     for text, ids in zip(texts, encoder.ids(texts)):
         assert ids.tolist() == whole(library, text), text
 
@@ -46,13 +46,13 @@ def test_ids_are_the_librarys(library):
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,!'́_-<|>aAsStTİΣςé²5½\x1c\x85"), st.characters(codec="utf-8")), max_size=40))
 def test_ids_of_any_text(text):
     encoder = shared_encoder()
-    encoder.known, encoder.parts = {}, {}
+    encoder.known = {}
     assert next(iter(encoder.ids([text]))).tolist() == whole(encoder.library, text)
 
 
 @functools.cache
 def shared_encoder():
-    return packing.Encoder(CONTENT, 1)
+    return packing.Encoder(packing.Vocabulary.of(CONTENT), 1)
 
 
 def check(rows, capacity):
