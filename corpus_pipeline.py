@@ -9,6 +9,8 @@ from cartwright.llm.shipping import ship
 from cartwright.llm.tables import stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: For the registered pipeline alone, whose results have to be the same in every run; others need a secret one.
+SURROGATE_KEY = b"key of the registered pipeline"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +29,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
     ship(spark)
-    rows = pii.with_surrogates(docs)
+    rows = pii.with_surrogates(docs, SURROGATE_KEY)
     return rows.withColumn(
         "n_chars", F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
     ).select(*docs.columns)
 
 
 def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document; n_chars follows the text."""
+    """A row for each time the mix takes a document, always whole."""
     ship(spark)
-    return mixing.training_order(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return mixing.training_order(docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
