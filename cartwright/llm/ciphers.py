@@ -84,3 +84,48 @@ def reworded(key: bytes, name: str, value: str, alphabets: tuple[str, ...]) -> s
             new = alphabet[at]
             out[i] = new if value[i] == value[i].lower() else new.upper()
     return "".join(out)
+
+
+def drawn(key: bytes, name: str, value: str, alphabet: str, length: int) -> str:
+    """So many characters of the alphabet, the same for the same value."""
+    number = _number_below(key, name, value, below=len(alphabet) ** length) if length else 0
+    out = []
+    for _ in range(length):
+        number, at = divmod(number, len(alphabet))
+        out.append(alphabet[at])
+    return "".join(out)
+
+
+# What names of each script are made of, and how those of women, men and families end.
+_NAME_PARTS = {
+    "latin": ("bdfgklmnprstv", "aeiou", {"f": ("a", "ia", "ina"), "m": ("n", "r", "s", "k"), "": ("er", "sen", "man")}),
+    "greek": ("βγδζθκλμνπρστ", "αειουω", {"f": ("α", "η"), "m": ("ος", "ης"), "": ("ιδης", "ακης")}),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"f": ("а", "ия"), "m": ("н", "р", "д"), "": ("ко", "ин", "ук")}),
+}
+_OTHER_SCRIPTS = (HEBREW, ARABIC, DEVANAGARI)
+
+
+def made_name(key: bytes, name: str, value: str, gender: str, attempt: int) -> str:
+    """A name of the value's script and the gender (f, m, or else a family's), with more syllables at
+    each attempt."""
+    first = next((c.lower() for c in value if c.isalpha()), "a")
+    if _HAN[0] <= ord(first) <= _HAN[1]:
+        span = _HAN[1] - _HAN[0] + 1
+        number = _number_below(key, name, value, below=span ** (attempt + 1))
+        return "".join(chr(_HAN[0] + number // span**i % span) for i in range(attempt + 1))
+    for letters in _OTHER_SCRIPTS:
+        if first in letters:
+            return drawn(key, name, value, letters, attempt + 3)
+    script = "greek" if first in GREEK or "\u0370" <= first <= "\u03ff" else "cyrillic" if "\u0400" <= first <= "\u04ff" else "latin"
+    consonants, vowels, endings = _NAME_PARTS[script]
+    endings = endings.get(gender, endings[""])
+    syllables = [c + v for c in consonants for v in vowels]
+    number = _number_below(key, name, value, below=len(endings) * len(syllables) ** (attempt + 1))
+    number, end = divmod(number, len(endings))
+    parts = []
+    for _ in range(attempt + 1):
+        number, at = divmod(number, len(syllables))
+        parts.append(syllables[at])
+    made = "".join(parts)
+    made = (made[:-1] if endings[end][0] in vowels else made) + endings[end]
+    return made.capitalize() if value[:1] != value[:1].lower() else made
