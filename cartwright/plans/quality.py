@@ -71,6 +71,48 @@ def same_second_duplicates(raw: DataFrame) -> DataFrame:
     return _repeats(raw, second, "rows_to_deduplicate", "bucket_count")
 
 
+def _by_second(raw: DataFrame) -> DataFrame:
+    """Events of each key and second: how many, the first time and the last."""
+    at = F.col("event_time")
+    return raw.groupBy(*_EVENT_KEYS, E.second_bucket(at).alias("instant")).agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last")
+    )
+
+
+def duplicate_counts(raw: DataFrame) -> DataFrame:
+    """The figures of ``exact_duplicates`` and ``same_second_duplicates`` in one row, from one wide exchange.
+
+    In a second whose events have one time all of them are exact duplicates, and of two events at two
+    times none is. Only seconds of three and more events at several times are looked at again, event
+    by event.
+    """
+    several = _by_second(raw).where(F.col("n") > 1)
+    one_time = F.col("first") == F.col("last")
+
+    def extra(n: Column) -> Column:
+        return F.coalesce(F.sum(n - 1), F.lit(0))
+
+    counted = several.agg(
+        extra(F.when(one_time, F.col("n"))).alias("extra_duplicate_rows"),
+        F.count_if(one_time).alias("duplicate_groups"),
+        extra(F.col("n")).alias("rows_to_deduplicate"),
+        F.count("*").alias("bucket_count"),
+    )
+    open_ = several.where((F.col("n") > 2) & ~one_time).select(
+        *[F.col(k).alias(f"open_{k}") for k in _EVENT_KEYS], F.col("instant").alias("open_instant")
+    )
+    # null-safe, as a plain join would filter one of the two readings and so keep them from sharing
+    second = E.second_bucket(F.col("event_time"))
+    same = [F.col(k).eqNullSafe(F.col(f"open_{k}")) for k in _EVENT_KEYS]
+    again = raw.select(*_EVENT_KEYS, "event_time").join(
+        open_, reduce(Column.__and__, [*same, second.eqNullSafe(F.col("open_instant"))]), "left_semi"
+    )
+    mixed = again.groupBy(*_EVENT_KEYS, "event_time").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    none = F.lit(0).cast("bigint")
+    parts = counted.unionAll(mixed.agg(extra(F.col("n")), F.count("*"), none, none))
+    return parts.agg(*[F.sum(c).alias(c) for c in counted.columns])
+
+
 def midnight_sessions(raw: DataFrame) -> DataFrame:
     """Sessions with events on two dates; session-less events count as one session."""
     spans = raw.groupBy("user_session").agg(
@@ -100,6 +142,10 @@ def profile(raw: DataFrame) -> DataFrame:
             .otherwise("null_counts")
         )
 
+    def check_of_duplicates(metric: Column) -> Column:
+        exact = metric.isin("extra_duplicate_rows", "duplicate_groups")
+        return F.when(exact, "exact_duplicates").otherwise("same_second_duplicates")
+
     def melted(result: DataFrame, check_of: Callable[[Column], Column]) -> DataFrame:
         names = result.columns
         texts = result.select(*[F.col(n).cast("string").alias(n) for n in names])
@@ -122,8 +168,7 @@ def profile(raw: DataFrame) -> DataFrame:
     )
     parts = [
         melted(one_scan, check_of_scan),
-        melted(exact_duplicates(raw), named("exact_duplicates")),
-        melted(same_second_duplicates(raw), named("same_second_duplicates")),
+        melted(duplicate_counts(raw), check_of_duplicates),
         melted(midnight_sessions(raw), named("midnight_sessions")),
         types,
     ]

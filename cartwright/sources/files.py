@@ -4,6 +4,7 @@ Spark has no public interface for these, so this class alone uses the session's
 over Spark Connect. Tables themselves are read and written by Spark.
 """
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -15,20 +16,14 @@ class Files:
         hadoop_path = self._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self._conf), hadoop_path
 
-    def create_new(self, path: str, text: str) -> bool:
-        """Write a small file unless there is one; of several writers one succeeds."""
+    def write(self, path: str, text: str) -> None:
+        """Write a small file; one that is there already is replaced."""
         fs, at = self._at(path)
-        if fs.exists(at):
-            return False
+        out = fs.create(at, True)
         try:
-            out = fs.create(at, False)
-        except Exception:
-            if fs.exists(at):
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
     def read(self, path: str) -> str:
         fs, at = self._at(path)
@@ -52,6 +47,24 @@ class Files:
         fs, at = self._at(path)
         return fs.getFileStatus(at).getModificationTime()
 
+    def changed_since(self, path: str, moment: float) -> bool:
+        """Whether the path or any file below it changed after so many milliseconds.
+
+        A folder's own time tells of its direct children only, not of what is written deeper down.
+        """
+        fs, at = self._at(path)
+        try:
+            if fs.getFileStatus(at).getModificationTime() > moment:
+                return True
+            below = fs.listFiles(at, True)
+            while below.hasNext():
+                if below.next().getModificationTime() > moment:
+                    return True
+        except Py4JJavaError:
+            if fs.exists(at):
+                return True  # files come and go: somebody is at work
+        return False
+
     def size(self, path: str) -> tuple[int, int]:
         """Files and bytes below a path, without reading them."""
         fs, at = self._at(path)
