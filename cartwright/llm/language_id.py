@@ -44,8 +44,9 @@ _PIECE = 1 << 19
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """For every code point, whether it is a letter or a mark that belongs to one."""
-    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
+    """For every code point: 2 for a letter, 1 for a mark, which belongs to one, 0 for all else."""
+    kinds = {"L": 2, "M": 1}
+    return np.fromiter((kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8, 0x110000)
 
 
 def _gram_pieces(text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,9 +56,10 @@ def _gram_pieces(text: str) -> Iterator[tuple[int, np.ndarray]]:
     """
     low = text.lower()
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
+    kinds = _letters()[points]
+    if not (kinds == 2).any():
         return
+    letter = kinds > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of each run of others stays, as a space
     kept = np.where(letter, points, 32)[keep].astype(np.uint64)
@@ -132,9 +134,9 @@ def _positions(hashes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _sampled(rows: DataFrame) -> DataFrame:
-    """All labelled documents of a language, or about TRAIN_DOCS of them, picked by id."""
+    """All labelled documents of a language, or about TRAIN_DOCS of them, picked by id and text."""
     counts = rows.groupBy("lang").agg(F.count("*").alias("docs"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(F.broadcast(counts), "lang").where(draw * F.col("docs") < TRAIN_DOCS)
 
 

@@ -1,5 +1,6 @@
 """Languages of texts that were not learned from."""
 
+import numpy as np
 import pytest
 from cartwright.llm import language_id
 from frames import documents, odd_rows
@@ -40,6 +41,61 @@ def test_no_false_negatives_and_known_fill(model):
         assert model.fill[bit] ** language_id.PROBES < 0.05
 
 
+def test_against_exact_ngram_sets(spark, docs, model):
+    """Shares and decisions of the filter against sets of the very n-grams each language was given."""
+    frequent = {}
+    train = docs.where(~language_id.held_out()).where("lang is not null and text is not null").collect()
+    assert len(train) < language_id.TRAIN_DOCS  # all are learned from
+    counts = {}
+    for r in train:
+        for n, hashes in language_id._gram_pieces(r["text"]):
+            mine = counts.setdefault((r["lang"], n), {})
+            for h in hashes.tolist():
+                mine[h] = mine.get(h, 0) + 1
+    shares = {}
+    for (lang, n), mine in counts.items():
+        total = sum(mine.values())
+        for h, times in mine.items():
+            if times / total >= language_id.SHARE:
+                shares.setdefault(h, {})[lang] = times / total
+    for h, by_lang in shares.items():
+        for lang, share in by_lang.items():
+            if share >= language_id.RELATIVE * max(by_lang.values()):
+                frequent.setdefault(lang, set()).add(h)
+    assert tuple(sorted(frequent)) == model.languages
+    agree, some = 0, docs.where(language_id.held_out()).limit(150).collect()
+    for r in some:
+        grams = [h for _, hashes in language_id._gram_pieces(r["text"] or "") for h in hashes.tolist()]
+        lang, score = model.decide(r["text"])
+        if not grams:
+            assert lang == "und"
+            agree += 1
+            continue
+        exact = {k: sum(h in held for h in grams) / len(grams) for k, held in frequent.items()}
+        agree += exact[lang] == max(exact.values())
+        assert abs(score - exact[lang]) < 0.05
+    assert agree >= 0.98 * len(some)
+    for lang, held in frequent.items():  # no false negatives
+        bit = model.languages.index(lang)
+        masks = model.masks(np.fromiter(held, np.uint64, len(held)))
+        assert ((masks[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).all()
+
+
+def test_marks_alone_are_no_letters(model):
+    for text in ("\u0301\u0301", "\u0301 12 \u0308!", "\u093e"):
+        assert model.decide(text) == ("und", 0.0) and not model.knows(text)
+    assert model.decide("e\u0301")[0] != "und"
+
+
+def test_many_rows_without_id_are_sampled_like_others(spark, monkeypatch):
+    """Rows without id are drawn one by one: neither none of a language nor all of it."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 200)
+    texts = [(None, f"words number {i} of the text", "en", "a") for i in range(2000)]
+    rows = documents(spark, texts + [(5, f"wörter nummer {i} im text", "de", "a") for i in range(2000)])
+    drawn = {r["lang"]: r["count"] for r in language_id._sampled(rows).groupBy("lang").count().collect()}
+    assert set(drawn) == {"en", "de"} and all(120 < n < 300 for n in drawn.values())
+
+
 def test_odd_rows(spark, model):
     rows = [*odd_rows(), (20, "1234 !!! 99", "en", "a"), (21, "日本語のテキスト", "en", "a"), (22, "a", "en", "a")]
     docs = documents(spark, rows).withColumnRenamed("source", "lang_pred")
