@@ -139,16 +139,16 @@ ORACLE = {
     """,
     "op9_exact_topk": """
         WITH vectors AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), pairs AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+            SELECT q.row, q.vec_id AS query_id, c.vec_id, c.row AS other, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM vectors q JOIN vectors c ON q.row <> c.row
             WHERE q.vec_id % 50 = 0
         ), ranked AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+            SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id, other)::INTEGER AS rank,
                    vec_id, score
             FROM pairs
         )

@@ -13,8 +13,10 @@ def brute(rows, every=50, top=5):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
     out = []
-    for q, u in {i: v for i, v in whole if i % every == 0}.items():
-        scored = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in whole if i != q)
+    for at, (q, u) in enumerate(whole):
+        if q % every:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(u, v)), i) for n, (i, v) in enumerate(whole) if n != at)
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:top], 1)]
     return sorted(out)
 
@@ -55,3 +57,27 @@ def test_odd_rows(spark):
     assert result(spark, rows) == brute(rows)
     assert result(spark, [(1, [1.0])]) == [] and result(spark, [(50, [1.0])]) == [] and result(spark, []) == []
     assert result(spark, [(50, []), (1, [])]) == [(50, 1, 1, 0)]
+
+
+def test_rows_of_one_id_are_queries_and_candidates_of_their_own(spark):
+    rows = as_float32([(50, [0.5, 0.25]), (50, [0.25, 1.0]), (50, [0.5, 0.25]), (0, [1.0, 1.0]), (3, [0.1, 0.9]), (3, [0.9, 0.1]), (4, [0.2, 0.2])])
+    found = result(spark, rows)
+    assert found == brute(rows) and sum(r[0] == 50 for r in found) == 15
+
+
+def test_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 30)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(exact_topk, "LEAST_TILE", 1000)
+    rng = random.Random(4)
+    rows = as_float32([(i, [rng.gauss(0, 0.2) * math.exp(rng.gauss(0, 1)) for _ in range(12)]) for i in range(0, 700, 2)])
+    assert result(spark, rows) == brute(rows)
+
+
+def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
+    """One long block answers all queries; blocks of short vectors meet no task of theirs."""
+    monkeypatch.setattr(exact_topk, "BLOCK", 64)
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(5, 9) for _ in range(8)]) for i in range(64)] + [(i, [rng.uniform(0, 0.01) for _ in range(8)]) for i in range(64, 2000)]
+    rows = as_float32(rows)
+    assert result(spark, rows) == brute(rows)
