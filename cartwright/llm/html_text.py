@@ -2,7 +2,11 @@
 
 A page is read into a tree (missing end and start tags are implied), the tree is walked without what
 is not displayed, and each block is laid out: paragraphs are set apart by an empty line, list items
-get bullets or numbers and their depth, and the cells of a table's column share one width.
+get bullets or numbers and their depth, and the cells of a table's column share one width. Time grows
+with the page and what it becomes, not with its depth: open elements are counted by name, and lines of
+inner blocks are handed on as they are and get their indents at the end.
+
+Style sheets are not read; attributes and inline styles are.
 """
 
 import html
@@ -59,7 +63,12 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: Marks and indents of inner blocks stop growing at so many columns, else deep pages grow by their depth squared.
+MOST_INDENT = 160
+#: A cell spans at most so many columns; cells that begin further right span one row.
+MOST_COLUMNS = 1000
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -86,19 +95,22 @@ class _Builder:
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each name
 
     def close_to(self, depth: int) -> None:
-        del self.open[max(depth, 1) :]
+        for _ in range(len(self.open) - max(depth, 1)):
+            self.pop()
+
+    def pop(self) -> None:
+        self.depths[self.open.pop().name].pop()
+
+    def _deepest(self, names) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
 
     def find(self, names, border) -> int:
         """The depth of the innermost open element of these names within the border, or 0."""
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.open[depth].name
-            if name in names:
-                return depth
-            if name in border:
-                return 0
-        return 0
+        depth = self._deepest(names)
+        return depth if depth >= self._deepest(border) else 0
 
     def add_text(self, text: str) -> None:
         if text:
@@ -133,7 +145,7 @@ class _Builder:
         if name in END_P and (depth := self.find({"p"}, SCOPE)):
             self.close_to(depth)
         if name in HEADINGS and self.open[-1].name in HEADINGS:
-            self.open.pop()
+            self.pop()
         if name == "a" and (depth := self.find({"a"}, SCOPE)):
             self.close_to(depth)
         if name in ("td", "th") and self.open[-1].name in ("table", "tbody", "thead", "tfoot"):
@@ -147,6 +159,7 @@ class _Builder:
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
+        self.depths.setdefault(node.name, []).append(len(self.open))
         self.open.append(node)
 
     def _leave_head(self) -> None:
@@ -182,23 +195,29 @@ def tree(source: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             inner = source[at : end.start() if end else len(source)]
             node.children.append(Node("", text=html.unescape(inner) if name in ("textarea", "title") else inner))
-            builder.open.pop()
+            builder.pop()
             at = end.end() if end else len(source)
         elif node is not None and match[3].endswith("/") and name not in VOID and name in ("svg", "math"):
-            builder.open.pop()
+            builder.pop()
     builder.add_text(html.unescape(source[at:]))
     return builder.root
 
 
-def visible(node: Node) -> bool:
-    """Whether an element and what it holds is displayed."""
+def displayed(node: Node) -> bool:
+    """Whether an element has a place on the page."""
     if node.name in UNSEEN or "hidden" in node.attributes:
         return False
     if node.name == "dialog" and "open" not in node.attributes:
         return False
     if node.name == "input" and node.attributes.get("type", "").lower() == "hidden":
         return False
-    return not _HIDING.search(node.attributes.get("style", ""))
+    return not _UNDISPLAYED.search(node.attributes.get("style", ""))
+
+
+def _seen(node: Node, seen: bool) -> bool:
+    """Whether what an element holds is seen, if what is around it is ``seen``."""
+    found = _VISIBILITY.search(node.attributes.get("style", ""))
+    return found[1].lower() == "visible" if found else seen
 
 
 def _width(text: str) -> int:
@@ -210,11 +229,38 @@ def _width(text: str) -> int:
     )
 
 
+@dataclass
+class _Inner:
+    """Lines of an inner block, the first one behind a mark, the others as deep; never empty."""
+
+    lines: list
+    first: str
+    others: str
+
+
+def _flat(lines: list) -> list[str]:
+    """All lines with the marks and indents of the blocks around them."""
+    out: list[str] = []
+    stack = [(iter(lines), "", "")]
+    while stack:
+        here, first, others = stack.pop()
+        for line in here:
+            if isinstance(line, _Inner):
+                stack.append((here, others, others))
+                inner_first = first + line.first if len(first) < MOST_INDENT else first
+                inner_others = others + line.others if len(others) < MOST_INDENT else others
+                stack.append((iter(line.lines), inner_first, inner_others))
+                break
+            out.append(f"{first}{line}".rstrip())
+            first = others
+    return out
+
+
 class _Layout:
     """Lines of a block: text flows into the open line, blocks begin new ones."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines: list[str | _Inner] = []
         self.line: list[str] = []
         self.gap = False  # an empty line is due before the next text
         self.space = False  # a space is due before the next text of the line
@@ -266,134 +312,197 @@ class _Layout:
         elif self.lines and not self.gap:
             self.lines.append("")
 
-    def block(self, lines: list[str], first: str = "", others: str = "") -> None:
+    def block(self, lines: list, first: str = "", others: str = "") -> None:
         """Lines of an inner block, the first one behind a mark, the others as deep."""
         self.end_line()
         if lines:
             self._begin()
-            self.lines.append(f"{first}{lines[0]}")
-            self.lines += [f"{others}{line}".rstrip() for line in lines[1:]]
+            self.lines.append(_Inner(lines, first, others))
 
-    def done(self) -> list[str]:
+    def done(self) -> list:
+        """The lines from the first to the last that is not empty; inner blocks have some."""
         self.end_line()
-        lines = [line.rstrip() for line in self.lines]
-        while lines and not lines[-1]:
-            lines.pop()
-        while lines and not lines[0]:
-            lines.pop(0)
-        return lines
-
-
-def _cells(rows: list[list[list[str]]]) -> list[str]:
-    """A table's lines: the cells of a column are as wide as the widest, two spaces between."""
-    columns = max(map(len, rows), default=0)
-    widths = [max((_width(line) for row in rows if i < len(row) for line in row[i]), default=0) for i in range(columns)]
-    out = []
+        lines = [line if isinstance(line, _Inner) else line.rstrip() for line in self.lines]
+        end = len(lines)
+        while end and not lines[end - 1]:
+            end -= 1
+        begin = 0
+        while begin < end and not lines[begin]:
+            begin += 1
+        return lines[begin:end]
+
+
+@dataclass
+class _Cell:
+    lines: list
+    columns: int = 1
+    rows: int = 1
+
+
+def _grid(rows: list[list[_Cell]]) -> list[list[tuple[int, _Cell]]]:
+    """Each row's cells with their columns: a cell takes the first free ones, also in the rows below
+    that it spans."""
+    out: list[list[tuple[int, _Cell]]] = []
+    taken: dict[int, int] = {}  # rows a column is taken for, from this one on
     for row in rows:
-        for n in range(max((len(cell) for cell in row), default=0)):
-            parts = [(cell[n] if n < len(cell) else "", w) for cell, w in zip(row, widths)]
-            out.append("  ".join(p + " " * (w - _width(p)) for p, w in parts).rstrip())
+        placed, column = [], 0
+        below: dict[int, int] = {}
+        for cell in row:
+            while column in taken:
+                column += 1
+            placed.append((column, cell))
+            if cell.rows > 1 and column < MOST_COLUMNS:
+                below |= dict.fromkeys(range(column, column + cell.columns), cell.rows - 1)
+            column += cell.columns
+        out.append(placed)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
+    return out
+
+
+def _cells(rows: list[list[_Cell]]) -> list:
+    """A table's lines: the cells of a column are as wide as the widest, two spaces between.
+
+    Columns in which no cell begins take no room. In a table of one column nothing is aligned, and its
+    cells stand as they are.
+    """
+    grid = [row for row in _grid(rows) if any(cell.lines for _, cell in row)]
+    starts = sorted({column for row in grid for column, _ in row})
+    if len(starts) < 2:
+        return [line for row in grid for _, cell in row for line in cell.lines]
+    place = {column: i for i, column in enumerate(starts)}
+    flat = [[(place[column], _flat(cell.lines)) for column, cell in row] for row in grid]
+    widths = [0] * len(starts)
+    for row in flat:
+        for at, lines in row:
+            widths[at] = max([widths[at], *map(_width, lines)])
+    out = []
+    for row in flat:
+        for n in range(max(len(lines) for _, lines in row)):
+            parts, at = [], 0
+            for column, lines in row:
+                parts += [" " * widths[i] for i in range(at, column)]
+                line = lines[n] if n < len(lines) else ""
+                parts.append(line + " " * (widths[column] - _width(line)))
+                at = column + 1
+            out.append("  ".join(parts).rstrip())
     return out
 
 
 @dataclass
 class _Frame:
-    """An element being laid out; ``layout`` is shared with its parent unless it stands apart."""
+    """An element being laid out; ``layout`` is shared with its parent unless it stands apart.
+    ``table`` and ``list_`` are the nearest around it or itself, ``item`` tells of any list item."""
 
     node: Node
     layout: _Layout
     place: int = 0
     pre: bool = False
+    seen: bool = True
     number: int = 0
-    rows: list | None = None
-    apart: bool = False
+    rows: list[list[_Cell]] | None = None
+    table: "_Frame | None" = None
+    list_: "_Frame | None" = None
+    item: bool = False
+    summary: bool = False  # of a closed details, met already
+
+
+_LISTS = ("ul", "ol", "menu", "dir")
 
 
 def render(root: Node) -> str:
     """The displayed text of a tree. Walks with a stack of its own, so any depth is fine."""
-    top = _Frame(root, _Layout(), apart=True)
+    top = _Frame(root, _Layout(), seen=_seen(root, True))
     stack = [top]
     while stack:
         frame = stack[-1]
         if frame.place < len(frame.node.children):
             child = frame.node.children[frame.place]
             frame.place += 1
+            if frame.node.name == "details" and "open" not in frame.node.attributes:
+                if child.name != "summary" or frame.summary:
+                    continue
+                frame.summary = True
             if not child.name:
+                if not frame.seen:
+                    continue
                 if frame.pre:
                     frame.layout.as_is(child.text)
                 else:
                     frame.layout.flow(child.text)
-            elif visible(child):
+            elif displayed(child):
                 _enter(child, frame, stack)
             continue
         stack.pop()
         if stack:
-            _leave(frame, stack)
-    return "\n".join(top.layout.done())
+            _leave(frame, stack[-1])
+    return "\n".join(_flat(top.layout.done()))
+
+
+def _spaced(name: str, around: _Frame) -> bool:
+    return name in SPACED and not (name in _LISTS and around.item)
 
 
 def _enter(node: Node, frame: _Frame, stack: list[_Frame]) -> None:
-    name, layout = node.name, frame.layout
-    if name == "br":
-        layout.break_line()
-        return
-    if name == "hr":
-        layout.end_line(True)
-        layout.block(["---"])
-        layout.end_line(True)
-        return
-    if name == "img":
-        layout.flow(node.attributes.get("alt", ""))
-        return
-    if name == "input":
-        if node.attributes.get("type", "text").lower() not in ("checkbox", "radio", "password", "file"):
-            layout.flow(f" {node.attributes.get('value', '')} ")
-        return
+    name, layout, seen = node.name, frame.layout, _seen(node, frame.seen)
     if name in VOID:
+        if not seen:
+            return
+        if name == "br":
+            layout.break_line()
+        elif name == "hr":
+            layout.end_line(True)
+            layout.block(["---"])
+            layout.end_line(True)
+        elif name == "img":
+            layout.flow(node.attributes.get("alt", ""))
+        elif name == "input":
+            if node.attributes.get("type", "text").lower() not in ("checkbox", "radio", "password", "file"):
+                layout.flow(f" {node.attributes.get('value', '')} ")
         return
-    inner = _Frame(node, layout, pre=frame.pre or name in ("pre", "textarea"))
-    if name in ("li", "td", "th", "blockquote", "dd", "table", "caption") :
-        inner.layout, inner.apart = _Layout(), True
+    inner = _Frame(
+        node, layout, pre=frame.pre or name in ("pre", "textarea"), seen=seen, table=frame.table, list_=frame.list_,
+        item=frame.item or name == "li",
+    )
+    if name in ("li", "td", "th", "blockquote", "dd", "table", "caption"):
+        inner.layout = _Layout()
     if name in BLOCKS:
-        layout.end_line(name in SPACED and not (name in ("ul", "ol", "menu", "dir") and _in_item(stack)))
+        layout.end_line(_spaced(name, frame))
     if name == "table":
-        inner.rows = []
+        inner.rows, inner.table = [], inner
+    if name in _LISTS:
+        inner.list_ = inner
     if name == "ol":
         start = node.attributes.get("start", "1")
         inner.number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    if name == "tr" and (table := _table(stack)) is not None:
-        table.rows.append([])
+    if name == "tr" and frame.table is not None:
+        frame.table.rows.append([])
     stack.append(inner)
 
 
-def _in_item(stack: list[_Frame]) -> bool:
-    return any(f.node.name == "li" for f in stack)
-
-
-def _table(stack: list[_Frame]) -> _Frame | None:
-    return next((f for f in reversed(stack) if f.rows is not None), None)
+def _span(node: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell spans; 1 where that is no number."""
+    value = node.attributes.get(name, "1")
+    return min(max(int(value), 1), most) if value.isdigit() and value.isascii() and len(value) < 6 else 1
 
 
-def _leave(frame: _Frame, stack: list[_Frame]) -> None:
-    node, outer = frame.node, stack[-1].layout
+def _leave(frame: _Frame, around: _Frame) -> None:
+    node, outer = frame.node, around.layout
     name = node.name
     if name in ("td", "th"):
-        table = _table(stack)
+        table = around.table
         if table is None:
             outer.block(frame.layout.done())
         else:
             if not table.rows:
                 table.rows.append([])
-            span = node.attributes.get("colspan", "1")
-            empty = min(int(span), 1000) - 1 if span.isdigit() and span.isascii() and len(span) < 6 else 0
-            table.rows[-1] += [frame.layout.done(), *[[] for _ in range(max(empty, 0))]]
+            cell = _Cell(frame.layout.done(), _span(node, "colspan", MOST_COLUMNS), _span(node, "rowspan", 65534))
+            table.rows[-1].append(cell)
     elif name == "caption":
-        stack[-1].layout.block(frame.layout.done())
+        outer.block(frame.layout.done())
     elif name == "table":
-        lines = frame.layout.done()
-        outer.block(lines + _cells([row for row in frame.rows if any(row)]))
+        outer.block(frame.layout.done() + _cells(frame.rows))
     elif name == "li":
-        list_ = next((f for f in reversed(stack) if f.node.name in ("ul", "ol", "menu", "dir")), None)
+        list_ = around.list_
         if list_ is not None and list_.node.name == "ol":
             value = node.attributes.get("value", "")
             if re.fullmatch(r"-?\d{1,9}", value):
@@ -408,7 +517,7 @@ def _leave(frame: _Frame, stack: list[_Frame]) -> None:
     elif name == "dd":
         outer.block(frame.layout.done(), "    ", "    ")
     if name in BLOCKS:
-        outer.end_line(name in SPACED and not (name in ("ul", "ol", "menu", "dir") and _in_item(stack)))
+        outer.end_line(_spaced(name, around))
 
 
 def page_text(source) -> str:

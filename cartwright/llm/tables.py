@@ -16,12 +16,12 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of its own below ``spark.checkpoint.dir``.
+    """A folder of its own below ``spark.checkpoint.dir``, or else below that of ``setCheckpointDir``.
 
-    Only where the setting is missing, as in a local test, is a temporary folder used; a cluster
+    Only where both are missing, as in a local test, is a temporary folder used; a cluster
     has to name one that the driver and all executors share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")

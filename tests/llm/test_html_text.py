@@ -1,9 +1,12 @@
 """Displayed text and its layout."""
 
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
+from cartwright.llm import html_text
 from cartwright.llm.html_text import extracted, page_text
 
 CASES = {
@@ -84,3 +87,83 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x"), (4, "<p>x"), (4, "<p>x")], "page_id long, html string")
     assert sorted(r["text"] for r in extracted(pages).collect()) == ["", "", "x", "x", "x"]
     assert extracted(pages.limit(0)).count() == 0
+
+
+def filled(rows):
+    """Rows of (text, columns, rows) as a plain grid: each row's texts by column."""
+    grid = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, columns, down in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(r, min(r + down, len(rows))):
+                for j in range(c, c + columns):
+                    grid.setdefault((i, j), "")
+            grid[r, c] = text
+            c += columns
+    return [{j: t for (i, j), t in grid.items() if i == r and t} for r in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_cells_stand_in_their_columns(seed):
+    rng = random.Random(seed)
+    rows = [
+        [(f"{chr(97 + r)}{c}" * rng.randint(1, 3), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 4])) for c in range(rng.randint(1, 5))]
+        for r in range(rng.randint(1, 7))
+    ]
+    cells = lambda row: "".join(f"<td colspan={c} rowspan={d}>{t}" for t, c, d in row)
+    lines = html_text.page_text("<table>" + "".join(f"<tr>{cells(row)}" for row in rows) + "</table>").split("\n")
+    want = filled(rows)
+    assert len(lines) == len(want)
+    starts = {}
+    for line, row in zip(lines, want):
+        assert line.split() == [row[j] for j in sorted(row)]
+        for j in sorted(row):
+            at = line.index(row[j])
+            assert starts.setdefault(j, at) == at  # a column begins at one place in all lines
+    places = [starts[j] for j in sorted(starts)]
+    assert places == sorted(places)
+
+
+def test_spanned_rows_keep_columns_aligned():
+    text = html_text.page_text("<table><tr><td rowspan=2>a<td>b<td>x<tr><td>c<td>d<tr><td>e<td colspan=2>f</table>")
+    assert text == "a  b  x\n   c  d\ne  f"
+    assert html_text.page_text("<table><tr><td rowspan=0>a<td rowspan=x>b<td rowspan=99999999>c</table>") == "a  b  c"
+
+
+def test_closed_details_show_their_summary():
+    page = "<details>before<summary>Sum</summary><p>body</p><summary>two</summary></details>after"
+    assert html_text.page_text(page) == "Sum\nafter"
+    assert html_text.page_text(page.replace("<details>", "<details open>")).split() == ["before", "Sum", "body", "two", "after"]
+
+
+def test_what_is_visible_inside_the_hidden():
+    page = "a<div style='visibility:hidden'>b<img alt=c><p style='visibility: visible'>d</p>e</div><p style='display:none'>f<b style='visibility:visible'>g</b></p>h"
+    assert html_text.page_text(page).split() == ["a", "d", "h"]
+
+
+@pytest.mark.parametrize(
+    "piece", ["<div>x", "<blockquote>x", "<ul><li>x", "<ol><li>x", "<table><tr><td>x", "<p><b>x", "<span>x</p>", "<dl><dd>x", "<a>x", "<h1>x", "<details open>x",
+              "<td>x", "<tr>x", "<table>x<tr>", "<li>x", "</div><i>x"]
+)
+def test_time_grows_with_the_page(piece):
+    """Twelve times as many open elements take no more than some twenty times as long."""
+
+    def seconds(n):
+        best = 9e9
+        for _ in range(2):
+            begun = time.process_time()
+            text = html_text.page_text(piece * n)
+            best = min(best, time.process_time() - begun)
+        assert text.count("x") == n
+        return best
+
+    small = max(seconds(2500), 0.02)
+    assert seconds(30_000) < 25 * small
+
+
+def test_deep_quotes_keep_every_line():
+    text = html_text.page_text("".join(f"<blockquote>line{i}" for i in range(3000)))
+    assert [line.lstrip("> ") for line in text.split("\n") if line.strip("> ")] == [f"line{i}" for i in range(3000)]
+    assert max(map(len, text.split("\n"))) < 200
