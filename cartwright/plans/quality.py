@@ -176,18 +176,17 @@ def profile(raw: DataFrame) -> DataFrame:
 
 
 def constraint_violations(star: Star) -> DataFrame:
-    """Offending rows per key, reference and required column, as (table_name, rule, violations)."""
+    """Offending rows per key, reference and required column, as (table_name, rule, violations).
+
+    Users, products and sessions are shuffled once each, with all that refers to them.
+    """
     keys = [
-        ("dim_users", star.users, "user_id"),
-        ("dim_products", star.products, "product_id"),
-        ("fct_sessions", star.sessions, "session_id"),
-    ]
-    references = [
-        ("fct_sessions", star.sessions, "user_id", star.users, "user_id"),
-        ("fct_events", star.events, "product_id", star.products, "product_id"),
-        ("fct_events", star.events, "user_id", star.users, "user_id"),
-        ("fct_events", star.events, "user_session", star.sessions, "session_id"),
-    ]
+        ("dim_users", star.users, "user_id", [
+            ("fct_sessions", star.sessions, "user_id"), ("fct_events", star.events, "user_id"),
+        ]),
+        ("dim_products", star.products, "product_id", [("fct_events", star.events, "product_id")]),
+        ("fct_sessions", star.sessions, "session_id", [("fct_events", star.events, "user_session")]),
+    ]
     required = [
         ("dim_users", star.users, schemas.DIM_USERS),
         ("dim_products", star.products, schemas.DIM_PRODUCTS),
@@ -195,27 +194,21 @@ def constraint_violations(star: Star) -> DataFrame:
         ("fct_events", star.events, schemas.FCT_EVENTS),
     ]
 
-    def tagged(table, rule, counts):
-        return counts.select(F.lit(table).alias("table_name"), rule.alias("rule"), "violations")
-
-    parts = [
-        tagged(table, F.lit(f"unique {key}"), constraints.repeated_keys(frame, key))
-        for table, frame, key in keys
-    ]
-    parts += [
-        tagged(
-            table,
-            F.lit(f"{column} has parent"),
-            constraints.orphans(frame, column, parent, key),
+    def chosen(texts: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, texts)), F.col("check").cast("int") + 1)
+
+    parts = []
+    for table, frame, key, references in keys:
+        checks = constraints.key_checks(frame, key, [(child, column) for _, child, column in references])
+        rules = [f"unique {key}", *[f"{column} has parent" for _, _, column in references]]
+        parts.append(
+            checks.select(
+                chosen([table, *[name for name, _, _ in references]]).alias("table_name"),
+                chosen(rules).alias("rule"), "violations",
+            )
         )
-        for table, frame, column, parent, key in references
-    ]
-    parts += [
-        tagged(
-            table,
-            F.concat(F.col("column_name"), F.lit(" not null")),
-            constraints.nulls_by_column(frame, [f.name for f in schema if not f.nullable]),
-        )
-        for table, frame, schema in required
-    ]
+    for table, frame, schema in required:
+        counts = constraints.nulls_by_column(frame, [f.name for f in schema if not f.nullable])
+        rule = F.concat(F.col("column_name"), F.lit(" not null"))
+        parts.append(counts.select(F.lit(table).alias("table_name"), rule.alias("rule"), "violations"))
     return reduce(DataFrame.unionAll, parts)
