@@ -1,6 +1,6 @@
 """Load an event CSV into the stored raw table."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,11 +77,15 @@ def load_events(spark: SparkSession, csv_path: str, root: str, multi_line: bool
 
 
 def store_raw(spark: SparkSession, events: DataFrame, root: str) -> int:
+    """Replace the raw table; the rows are counted while they are written."""
     run = store.new_run(f"{root}/raw")
-    store.write_table(events.select(*V.RAW_COLUMNS), f"{run}/{RAW_TABLE}")
+    written = Observation()
+    rows = events.select(*V.RAW_COLUMNS).observe(written, F.count("*").alias("rows"))
+    store.write_table(rows, f"{run}/{RAW_TABLE}")
     store.commit(spark, run)
     store.prune(spark, f"{root}/raw")
-    return raw_events(spark, root).count()
+    count = written.get.get("rows")
+    return raw_events(spark, root).count() if count is None else count
 
 
 def raw_events(spark: SparkSession, root: str) -> DataFrame:

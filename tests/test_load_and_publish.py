@@ -133,6 +133,17 @@ def test_uncommitted_run_is_invisible(spark, tmp_path):
     assert csv_events.raw_events(spark, root).count() == 1
 
 
+def test_a_load_counts_without_reading_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "root")
+    many = raw_table(spark, *[event("2020-10-05 10:00:00", user=i) for i in range(300)]).repartition(7)
+    with monkeypatch.context() as patch:
+        patch.setattr(csv_events, "raw_events", None)
+        assert csv_events.store_raw(spark, many, root) == 300
+        assert csv_events.store_raw(spark, many.where("user_id < 0"), root) == 0
+        assert csv_events.store_raw(spark, many.join(many.select("user_id").distinct(), "user_id"), root) == 300
+    assert csv_events.raw_events(spark, root).count() == 300
+
+
 def test_overlapping_refreshes_count_by_commit(spark, tmp_path):
     root = str(tmp_path / "root")
     first, second = store.new_run(root), store.new_run(root)
