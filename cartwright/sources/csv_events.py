@@ -92,3 +92,8 @@ def raw_events(spark: SparkSession, root: str) -> DataFrame:
     """The raw table as last loaded."""
     run = store.latest_run(spark, f"{root}/raw")
     return store.read_table(spark, f"{run}/{RAW_TABLE}", RAW_EVENTS)
+
+
+def raw_bytes(spark: SparkSession, root: str) -> int:
+    """Stored bytes of the raw table."""
+    return store.content_version(spark, f"{store.latest_run(spark, f'{root}/raw')}/{RAW_TABLE}")[1]
